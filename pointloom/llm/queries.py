@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pointloom.llm.decontaminate import op4_decontaminate
+from pointloom.llm.packing import op3_packing
 from pointloom.llm.sharding import op1_sharding
 from pointloom.llm.simhash import op9_simhash
+from pointloom.llm.tokenstore import op8_tokenstore
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op9_simhash": op9_simhash}
+    found = (op1_sharding, op3_packing, op4_decontaminate, op8_tokenstore, op9_simhash)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
