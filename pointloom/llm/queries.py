@@ -10,11 +10,12 @@ from pointloom.llm.decontaminate import op4_decontaminate
 from pointloom.llm.packing import op3_packing
 from pointloom.llm.sharding import op1_sharding
 from pointloom.llm.simhash import op9_simhash
+from pointloom.llm.substrings import op5_substrings
 from pointloom.llm.tokenstore import op8_tokenstore
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op3_packing, op4_decontaminate, op8_tokenstore, op9_simhash)
+    found = (op1_sharding, op3_packing, op4_decontaminate, op5_substrings, op8_tokenstore, op9_simhash)
     return {f.__name__: f for f in found}
 
 
