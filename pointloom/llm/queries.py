@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pointloom.llm.decontaminate import op4_decontaminate
+from pointloom.llm.langid import op10_langid
 from pointloom.llm.packing import op3_packing
 from pointloom.llm.sharding import op1_sharding
 from pointloom.llm.simhash import op9_simhash
@@ -15,7 +16,7 @@ from pointloom.llm.tokenstore import op8_tokenstore
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op3_packing, op4_decontaminate, op5_substrings, op8_tokenstore, op9_simhash)
+    found = (op1_sharding, op3_packing, op4_decontaminate, op5_substrings, op8_tokenstore, op9_simhash, op10_langid)
     return {f.__name__: f for f in found}
 
 
