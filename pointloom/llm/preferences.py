@@ -51,8 +51,9 @@ def preference_pairs(turns: DataFrame, learnt_role: str = "assistant") -> DataFr
         return F.aggregate(part, start, step, lambda acc: acc["spans"])
 
     before = F.filter("turns", lambda t: F.col("cut").isNull() | (t["turn"] < F.col("cut")))
-    after = {side: F.filter("turns", lambda t, side=side: (t["turn"] >= F.col("cut")) & t[f"in_{side}"]) for side in ("chosen", "rejected")}
-    parts = pairs.select("pair_id", "complete", before.alias("p"), after["chosen"].alias("c"), after["rejected"].alias("r"))
+    chosen = F.filter("turns", lambda t: (t["turn"] >= F.col("cut")) & t["in_chosen"])
+    rejected = F.filter("turns", lambda t: (t["turn"] >= F.col("cut")) & t["in_rejected"])
+    parts = pairs.select("pair_id", "complete", before.alias("p"), chosen.alias("c"), rejected.alias("r"))
     return parts.select(
         "pair_id", "complete", F.size("p").alias("n_prompt_turns"), text_of(F.col("p")).alias("prompt"), text_of(F.col("c")).alias("chosen"), text_of(F.col("r")).alias("rejected"), mask_of(F.col("c")).alias("chosen_mask"), mask_of(F.col("r")).alias("rejected_mask")
     )
