@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,3 +152,53 @@ def components(links: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
         if before == seen:
             break
     return now.selectExpr("a node", "b root")
+
+
+class Parts:
+    """A written table whose partitions are read several times, and answers that come back to each of them.
+
+    Texts then need no shuffle: what is found about rows elsewhere goes to a file for each partition in the shared
+    folder, and the next pass over a partition reads its own. A row is named by partition and number within it.
+    """
+
+    def __init__(self, scratch: Scratch, df: DataFrame, name: str = "rows"):
+        self.scratch, self.name = scratch, name
+        self.df = scratch.table(df, name)
+
+    def map(self, fn: Callable[[int, pa.RecordBatch, np.ndarray], Iterator[pa.RecordBatch]], schema: str, columns: list[str] | None = None) -> DataFrame:
+        """fn(partition, batch, row names) over the batches of each partition; row names rise by one from partition << 40."""
+
+        def over(batches):
+            from pyspark import TaskContext
+
+            part, n = TaskContext.get().partitionId(), 0
+            for batch in batches:
+                yield from fn(part, batch, (part << 40) + n + np.arange(batch.num_rows))
+                n += batch.num_rows
+
+        return (self.df.select(*columns) if columns else self.df).mapInArrow(over, schema)
+
+    def deliver(self, rows: DataFrame, name: str) -> Callable[[int], np.ndarray]:
+        """Sends row names (column rid) to their partitions; returns what reads those of a partition, in order."""
+        base = self.scratch.path(name)
+
+        def save(group: pa.Table) -> pa.Table:
+            part = group.column("part")[0].as_py()
+            fs, root = arrow_fs.FileSystem.from_uri(base)
+            fs.create_dir(root, recursive=True)
+            with fs.open_output_stream(own := f"{root}/.{part}-{uuid.uuid4().hex}") as sink:
+                sink.write(np.sort(group.column("rid").to_numpy()).astype("<i8").tobytes())
+            fs.move(own, f"{root}/{part}")
+            return pa.table({"part": pa.array([part], pa.int32())})
+
+        sent = rows.select(F.shiftright("rid", 40).cast("int").alias("part"), "rid")
+        self.scratch.table(sent.groupBy("part").applyInArrow(save, "part int"), f"{name}-done")
+
+        def load(part: int) -> np.ndarray:
+            fs, root = arrow_fs.FileSystem.from_uri(base)
+            if fs.get_file_info(f"{root}/{part}").type == arrow_fs.FileType.NotFound:
+                return np.zeros(0, np.int64)
+            with fs.open_input_stream(f"{root}/{part}") as source:
+                return np.frombuffer(source.read(), "<i8")
+
+        return load

@@ -135,11 +135,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Rows (doc_id, *keep, n_words, spans array of (start, end) in words, items array of strings), one per document."""
     load = item_blocks(benchmark, Scratch(docs.sparkSession, "decontaminate"), item_col, item_text_col)
     columns = list(dict.fromkeys([id_col, *keep]))
-    source = docs.select(*columns, F.col(text_col).cast("string").alias("__text"))
+    source = docs.select(*columns, *([] if text_col in columns else [text_col]))
+    at = source.columns.index(text_col)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def of(batch):
-        data, offsets = flat(batch.column(len(columns)))
+        data, offsets = flat(batch.column(at))
         for lo, hi in pieces(offsets, BUDGET):
             part = data[offsets[lo] : offsets[hi]]
             hashes, doc, bounds = words(part, offsets[lo : hi + 1] - offsets[lo])

@@ -151,11 +151,12 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
 def predictions(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Rows (*keep, lang_pred, score), one per document."""
-    source = docs.select(F.col(text_col).cast("string").alias("__text"), *keep)
+    source = docs.select(*keep) if text_col in keep else docs.select(*keep, text_col)
+    at = source.columns.index(text_col)
 
     def of(batch):
-        found = [model.predict(t) for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x[0] for x in found]), pa.array([x[1] for x in found], pa.float64())], names=[*keep, "lang_pred", "score"])
+        found = [model.predict(t) for t in batch.column(at).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([x[0] for x in found]), pa.array([x[1] for x in found], pa.float64())], names=[*keep, "lang_pred", "score"])
 
     kinds = "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in keep)
     return arrow_map(source, of, f"{kinds}lang_pred string, score double")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from pointloom.llm.decontaminate import op4_decontaminate
 from pointloom.llm.embeddings import op2_embeddings
 from pointloom.llm.langid import op10_langid
@@ -20,7 +21,7 @@ from pointloom.llm.warc import op7_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_sharding, op2_embeddings, op3_packing, op4_decontaminate, op5_substrings, op6_preferences, op7_warc, op8_tokenstore, op9_simhash, op10_langid)
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

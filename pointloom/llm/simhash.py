@@ -19,11 +19,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import Scratch, arrow_map, components, flat, mix, table
+from pointloom.llm.common import Parts, Scratch, arrow_map, components, flat, mix, table
 
 SEED = 42
 SEGMENTS = 16
@@ -154,6 +155,98 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(known, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+HASHES, BANDS = 256, 32
+_FACTORS = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64)).astype(np.uint32)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """32 keys of 8 minima each, of 256 hash functions of the shingles; none for a text without words."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    short = np.unique((hashes >> np.uint64(32)).astype(np.uint32))
+    low = np.full(HASHES, 2**32 - 1, np.uint32)
+    for lo in range(0, len(short), 1024):
+        low = np.minimum(low, (short[lo : lo + 1024, None] * (_FACTORS[:HASHES] | np.uint32(1)) + _FACTORS[HASHES:]).min(0))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in low.reshape(BANDS, -1).T:
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
+    return key.view(np.int64)
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Of two sets of 64-bit hashes, ordered; two empty sets are equal."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, at_least: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each group linked by Jaccard similarity `at_least` of their sets
+    of shingles, the row with the smallest id stays.
+
+    Equal texts meet first, as one class. Candidates are classes whose fingerprints differ by `radius` bits at most (the
+    grid join above) and, since fingerprints of texts of similarity 0.8 may differ by sixteen bits, where bit counts no
+    longer part anything, classes that share a band of eight minima of their shingles (0.997 of all pairs at 0.8 share
+    one of 32). A class is compared with the smallest and the largest of every band it stands in, on whole sets of
+    shingles; classes that only meet in a band without being like either of those two may stay apart. Null and empty
+    texts are one class. Texts pass no shuffle; see Parts.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash-texts")
+    parts = Parts(scratch, docs)
+    columns = [id_col, text_col]
+
+    def prints(part, batch, rid):
+        data, offsets = flat(batch.column(1))
+        raw = data.tobytes()
+        out = []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            hashes = shingle_hashes(raw[a:b], words)
+            out.append((xxhash.xxh3_128_digest(raw[a:b]), fingerprint(hashes), band_keys(hashes)))
+        digest, fp, keys = zip(*out, strict=True)
+        ids = pc.cast(batch.column(0), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(rid), ids, pa.array(digest, pa.binary()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["rid", "id", "digest", "fp", "keys"])
+
+    rows = scratch.table(parts.map(prints, "rid long, id long, digest binary, fp long, keys array<long>", columns), "prints")
+    classes = scratch.table(rows.groupBy("digest").agg(F.min(F.struct("id", "rid")).alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")).select("digest", F.col("first.rid").alias("node"), "fp", "keys"), "classes")
+    banded = classes.select("node", F.explode("keys").alias("key"))
+    ends = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    met = banded.join(ends, "key").select("node", F.explode(F.array("low", "high")).alias("other"))
+    by_fp = scratch.table(classes.groupBy("fp").agg(F.min("node").alias("low")), "by-fp")
+    alike = classes.join(by_fp, "fp").selectExpr("node", "low other")
+    near = fingerprint_links(by_fp.select("fp"), radius)
+    near = near.join(by_fp.selectExpr("fp a", "low node"), "a").join(by_fp.selectExpr("fp b", "low other"), "b").select("node", "other")
+    pairs = met.unionByName(alike).unionByName(near).selectExpr("least(node, other) a", "greatest(node, other) b").where("a < b").distinct()
+    pairs = scratch.table(pairs, "pairs")
+    wanted = parts.deliver(pairs.selectExpr("a rid").union(pairs.selectExpr("b rid")).distinct(), "wanted")
+
+    def sets(part, batch, rid):
+        on = np.flatnonzero(np.isin(rid, wanted(part), assume_unique=True))
+        own = batch.take(pa.array(on))
+        data, offsets = flat(own.column(1))
+        raw = data.tobytes()
+        found = [np.unique(shingle_hashes(raw[a:b], words)).tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(rid[on]), pa.array(found, pa.binary())], names=["node", "set"])
+
+    held = scratch.table(parts.map(sets, "node long, set binary", columns), "sets")
+
+    def verify(batch):
+        ok = [jaccard(x, y) >= at_least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    both = pairs.join(held.selectExpr("node a", "set x"), "a").join(held.selectExpr("node b", "set y"), "b").select("a", "b", "x", "y")
+    links = scratch.table(arrow_map(both, verify, "a long, b long"), "links")
+    star = components(links, scratch)
+    roots_of = classes.select("digest", "node").join(star, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    grouped = rows.select("rid", "id", "digest").join(roots_of, "digest").select("rid", "id", "root")
+    stay = grouped.groupBy("root").agg(F.min(F.struct("id", "rid")).alias("first")).select(F.col("first.rid").alias("rid"))
+    kept = parts.deliver(stay, "kept")
+
+    def keep(part, batch, rid):
+        yield batch.filter(pa.array(np.isin(rid, kept(part), assume_unique=True)))
+
+    return parts.map(keep, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
