@@ -18,11 +18,11 @@ from pointloom.llm.simhash import drop_near_duplicates
 from pointloom.llm.substrings import cut, repeated_spans
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.35
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects text without letters and text that no language reaches half of the probability for; fills in lang."""
+    """Rejects text without letters and text in which no language stands out; fills in lang."""
     model = train(docs.where(~held_out()))
     found = predictions(docs, model, keep=COLUMNS)
     kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
