@@ -69,6 +69,7 @@ def recover(points: DataFrame, regions: DataFrame, alpha_min: float = 1.0, keys:
     region has one result, so classify regions and join labels instead.
     """
     mean = points.groupBy(*keys, "seg").agg(F.avg("q").alias("mq"))
+    points = points.select(*keys, "seg", "pid", "feat", "valid", "q")  # coordinates may share names with regions' columns
     joined = with_unit(points, "feat").join(regions, [*keys, "seg"]).join(mean, [*keys, "seg"])
     share = F.least(F.greatest(F.col("q") / F.greatest("mq", F.lit(EPS)), F.lit(0.0)), F.lit(1.0))
     alpha = F.when(~F.col("valid"), 1.0).otherwise(alpha_min + (1 - alpha_min) * share)
