@@ -203,7 +203,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, at_least: float = 0.8,
             hashes = shingle_hashes(raw[a:b], words)
             out.append((xxhash.xxh3_128_digest(raw[a:b]), fingerprint(hashes), band_keys(hashes)))
         digest, fp, keys = zip(*out, strict=True)
-        ids = pc.cast(batch.column(0), pa.int64())
+        ids = pc.fill_null(pc.cast(batch.column(0), pa.int64()), 2**63 - 1)  # rows without id come last
         yield pa.RecordBatch.from_arrays([pa.array(rid), ids, pa.array(digest, pa.binary()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["rid", "id", "digest", "fp", "keys"])
 
     rows = scratch.table(parts.map(prints, "rid long, id long, digest binary, fp long, keys array<long>", columns), "prints")
