@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -75,6 +76,14 @@ def pieces(offsets: np.ndarray, budget: int) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
+def release() -> None:
+    """Gives freed memory back to the system, for the workers and the JVM that share an executor with this one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc
+        trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
@@ -82,6 +91,8 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
+            del batch
+            release()
 
     return df.mapInArrow(over, schema)
 
@@ -175,6 +186,8 @@ class Parts:
             for batch in batches:
                 yield from fn(part, batch, (part << 40) + n + np.arange(batch.num_rows))
                 n += batch.num_rows
+                del batch
+                release()
 
         return (self.df.select(*columns) if columns else self.df).mapInArrow(over, schema)
 

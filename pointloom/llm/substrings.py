@@ -37,12 +37,12 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import Scratch, flat, mix, pieces, table
+from pointloom.llm.common import Scratch, flat, mix, pieces, release, table
 from pointloom.llm.wordscan import prefix_hash, stretch_hash
 
 GRAM = 16
-CHUNK = 1 << 21
-PER_BUCKET = 8_000_000  # bytes of text a bucket answers for, on average
+CHUNK = 1 << 20
+PER_BUCKET = 4_000_000  # bytes of text a bucket answers for, on average
 _SALT = mix(np.arange(1000, 1256, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
@@ -210,6 +210,17 @@ def in_part(length: int) -> Callable[[pa.Table], pa.Table]:
     return answer
 
 
+def lean(by: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """Gives a group's memory back before the next one comes."""
+
+    def of(group: pa.Table) -> pa.Table:
+        out = by(group)
+        release()
+        return out
+
+    return of
+
+
 def save(base: str) -> Callable[[pa.Table], pa.Table]:
     """Writes the answers of a partition to its file."""
 
@@ -258,6 +269,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             for lo, hi, a, data, offsets, own in chunks(batch.column(1), ids, length):
                 chunk += 1
                 yield split, chunk, batch, (lo, hi, a), data, Parsed(data, offsets, own, length, buckets)
+                del data, offsets, own
+            release()
 
     def rows(split: int, chunk: int, found: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
         n = len(found)
@@ -362,7 +375,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
     def answers(ask, by, base):
         asked = source.select("__id", "__text").mapInArrow(ask, ASK_SQL)
-        found = asked.groupBy("bucket").applyInArrow(by, ANSWER_SQL)
+        found = asked.groupBy("bucket").applyInArrow(lean(by), ANSWER_SQL)
         scratch.table(found.groupBy("split").applyInArrow(save(base), "split int"), base.rsplit("/", 1)[1] + "-done")
 
     answers(ask_whole, whole, first_dir)

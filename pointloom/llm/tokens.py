@@ -14,7 +14,7 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-KEPT = 600_000  # entries of each of two generations of a cache
+KEPT = 400_000  # entries of each of two generations of a cache
 #: The split pattern that the vocabulary file itself states.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _made: dict[str, WordIds] = {}
