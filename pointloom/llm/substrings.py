@@ -131,8 +131,8 @@ def bucket_of(trigger: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
-    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=True):
+    cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
         yield int(bucket[a]), slice(a, b)
 
 
