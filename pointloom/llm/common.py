@@ -76,23 +76,33 @@ def pieces(offsets: np.ndarray, budget: int) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
-def release() -> None:
-    """Gives freed memory back to the system, for the workers and the JVM that share an executor with this one."""
+#: What operators keep in a worker between tasks, by name, with what empties it.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def release(uses: str = "") -> None:
+    """Gives memory back to the system, for the workers and the JVM that share an executor with this one.
+
+    A worker that has gone on to another operator drops what the last one kept; `uses` names the cache still in use.
+    """
+    for name, clear in CACHES.items():
+        if name != uses:
+            clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:  # glibc
         trim(0)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, uses: str = "") -> DataFrame:
+    """mapInArrow with a function of one batch; `uses` names a cache that outlives the task."""
 
     def over(batches):
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
             del batch
-            release()
+            release(uses)
 
     return df.mapInArrow(over, schema)
 

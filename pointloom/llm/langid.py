@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import arrow_map, table
+from pointloom.llm.common import arrow_map, release, table
 
 FEATURES, PER_LANGUAGE, EPOCHS = 4096, 600, 4
 LETTER = re.compile(r"[^\W\d_]")
@@ -100,9 +100,11 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     def of(batches):
         total, n = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total += counts(text) > 0
+            for text in batch.column(0):
+                total += counts(text.as_py()) > 0
                 n += 1
+            del batch
+            release()
         yield pa.RecordBatch.from_arrays([pa.array([*range(FEATURES), FEATURES], pa.int32()), pa.array([*total.tolist(), n], pa.int64())], names=["feature", "n"])
 
     out = np.zeros(FEATURES + 1, np.int64)
@@ -155,7 +157,7 @@ def predictions(docs: DataFrame, model: Model, text_col: str = "text", keep: tup
     at = source.columns.index(text_col)
 
     def of(batch):
-        found = [model.predict(t) for t in batch.column(at).to_pylist()]
+        found = [model.predict(t.as_py()) for t in batch.column(at)]
         yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([x[0] for x in found]), pa.array([x[1] for x in found], pa.float64())], names=[*keep, "lang_pred", "score"])
 
     kinds = "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in keep)

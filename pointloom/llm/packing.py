@@ -102,7 +102,7 @@ def token_pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str, i
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return arrow_map(source, of, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part int")
+    return arrow_map(source, of, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part int", uses="tokens")
 
 
 def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

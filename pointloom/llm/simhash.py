@@ -173,7 +173,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def jaccard(a: bytes, b: bytes) -> float:
+def jaccard(a: bytes | pa.Buffer, b: bytes | pa.Buffer) -> float:
     """Of two sets of 64-bit hashes, ordered; two empty sets are equal."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -230,7 +230,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, at_least: float = 0.8,
     held = scratch.table(parts.map(sets, "node long, set binary", columns), "sets")
 
     def verify(batch):
-        ok = [jaccard(x, y) >= at_least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        ok = [jaccard(x.as_buffer(), y.as_buffer()) >= at_least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     both = pairs.join(held.selectExpr("node a", "set x"), "a").join(held.selectExpr("node b", "set y"), "b").select("a", "b", "x", "y")

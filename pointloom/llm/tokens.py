@@ -12,6 +12,8 @@ import os
 import numpy as np
 import regex
 
+from pointloom.llm.common import CACHES
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 KEPT = 400_000  # entries of each of two generations of a cache
@@ -90,7 +92,8 @@ class WordIds:
 
 
 def word_ids(path: str) -> WordIds:
-    """One per worker process and file."""
+    """One per worker process and file, until the worker goes on to another operator."""
+    CACHES["tokens"] = _made.clear
     if path not in _made:
         _made[path] = WordIds(path)
     return _made[path]
