@@ -16,7 +16,7 @@ from pointloom.llm.common import CACHES
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-KEPT = 400_000  # entries of each of two generations of a cache
+KEPT = 400_000  # entries of each of two generations of a cache, about 400 MB a worker
 #: The split pattern that the vocabulary file itself states.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _made: dict[str, WordIds] = {}
@@ -25,9 +25,10 @@ _made: dict[str, WordIds] = {}
 class WordIds:
     """Ids of texts as little-endian unsigned 32-bit numbers in bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int | None = None):
         from tokenizers import Tokenizer
 
+        self.kept = kept or KEPT
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         vocabulary = self.library.get_vocab(with_added_tokens=False)
@@ -71,16 +72,16 @@ class WordIds:
         for chunk, found in zip(chunks, split, strict=True):
             if found is not None:
                 self.chunks[chunk] = b"".join([parts[p] for p in found])
-        if len(self.chunks) > KEPT:
+        if len(self.chunks) > self.kept:
             self.old_chunks, self.chunks = self.chunks, {}
-        if len(self.parts) > KEPT:
+        if len(self.parts) > self.kept:
             self.old_parts, self.parts = self.parts, {}
 
     def encode(self, text: bytes) -> bytes:
         words = text.split()
         out = []
-        for lo in range(0, len(words), KEPT // 4):
-            part = words[lo : lo + KEPT // 4]
+        for lo in range(0, len(words), self.kept // 4):
+            part = words[lo : lo + self.kept // 4]
             known = self.chunks
             try:
                 out.append(b"".join([known[w] for w in part]))
@@ -91,11 +92,11 @@ class WordIds:
         return b"".join(out)
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, kept: int | None = None) -> WordIds:
     """One per worker process and file, until the worker goes on to another operator."""
     CACHES["tokens"] = _made.clear
     if path not in _made:
-        _made[path] = WordIds(path)
+        _made[path] = WordIds(path, kept)
     return _made[path]
 
 

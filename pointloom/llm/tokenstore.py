@@ -27,6 +27,7 @@ from pointloom.llm.common import Scratch, flat, table
 from pointloom.llm.tokens import default_vocabulary, word_ids
 
 ROWS = 256  # rows of a batch
+KEPT = 600_000  # known chunks of text a worker keeps, twice; nothing else fills its memory here
 
 
 class ShardWriter:
@@ -76,7 +77,7 @@ def write_store(docs: DataFrame, scratch: Scratch, width: int = 2048, end_id: in
     def write(batches):
         from pyspark import TaskContext
 
-        ids, shard = word_ids(path), TaskContext.get().partitionId()
+        ids, shard = word_ids(path, KEPT), TaskContext.get().partitionId()
         kind = pa.uint16() if len(ids.last) <= 65_536 and end_id < 65_536 else pa.uint32()
         fs, root = arrow_fs.FileSystem.from_uri(base)
         fs.create_dir(root, recursive=True)
