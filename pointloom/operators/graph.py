@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.curves import ORDERS, cell, with_cells, with_code
+from pointloom.plans.storage import stored
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:
@@ -44,6 +45,7 @@ def curve_pairs(points: DataFrame, voxel: float, window: int, keys: Sequence[str
             w = Window.partitionBy(*keys).orderBy("code", "pid")
             ahead = [F.struct(*[F.lead(v, s).over(w).alias(v) for v in ("pid", "x", "y", "z")]) for s in range(1, window + 1)]
         else:
+            coded = stored(coded)  # read four times below
             bounds = sorted(set(coded.approxQuantile("code", [i / slabs for i in range(1, slabs)], 0.01)))
             slab = reduce(lambda acc, b: acc + (F.col("code") > b).cast("int"), bounds, F.lit(0))
             coded = coded.withColumn("slab", slab)
