@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.functions.vectors import dot, sums, with_unit
+from pointloom.functions.vectors import TINY, dot, norm, sums, with_unit
 from pointloom.operators.segment import PAIRS, eigenvector, moments
 
 MOMENTS = [f"c{a}{b}" for a, b in PAIRS]
@@ -18,8 +18,8 @@ MOMENTS = [f"c{a}{b}" for a, b in PAIRS]
 
 def base_regions(points: DataFrame, dim: int, keys: Sequence[str] = ("scene",)) -> DataFrame:
     """(keys, seg, zsum, cxx..czz): sums of the valid points' unit vectors, and of all points' normal products."""
-    unit = with_unit(points, "feat").withColumn("__w", F.col("valid").cast("double"))
-    z = unit.groupBy(*keys, "seg").agg(sums("feat", dim, F.col("__w")).alias("zsum"))
+    weighted = points.withColumn("__w", F.col("valid").cast("double") / F.greatest(norm(F.col("feat")), F.lit(TINY)))
+    z = weighted.groupBy(*keys, "seg").agg(sums("feat", dim, F.col("__w")).alias("zsum"))
     return z.join(moments(points, [*keys, "seg"]).drop("n"), [*keys, "seg"])
 
 

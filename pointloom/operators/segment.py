@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.curves import cell
-from pointloom.functions.vectors import EPS, scaled, sums, with_unit
+from pointloom.functions.vectors import EPS, TINY, norm, scaled, sums, with_unit
 
 PAIRS = (("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z"))
 
@@ -23,8 +23,9 @@ def segment_mean(points: DataFrame, keys: Sequence[str], dim: int, vector: str =
 
 def pooled(points: DataFrame, keys: Sequence[str], dim: int, vector: str = "feat", valid: str = "valid") -> DataFrame:
     """Unit mean of the valid points' unit vectors by region: (keys, z, w, n)."""
-    unit = with_unit(points, vector).withColumn("__w", F.col(valid).cast("double"))
-    return with_unit(segment_mean(unit, keys, dim, vector, "__w"), "z")
+    # the length goes into the weight, one number a row; scaling the vector itself would touch every component twice
+    weighted = points.withColumn("__w", F.col(valid).cast("double") / F.greatest(norm(F.col(vector)), F.lit(TINY)))
+    return with_unit(segment_mean(weighted, keys, dim, vector, "__w"), "z")
 
 
 def moments(points: DataFrame, keys: Sequence[str], axes: Sequence[str] = ("nx", "ny", "nz")) -> DataFrame:
