@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import Scratch, arrow_map, table
+from pointloom.llm.common import Scratch, table
 from pointloom.llm.decontaminate import contamination
 from pointloom.llm.langid import UNKNOWN, held_out, predictions, train
 from pointloom.llm.packing import pack
@@ -51,20 +51,20 @@ def whole_characters(raw: bytes, spans: list[dict]) -> list[dict]:
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts what repeats 50 bytes or more of a document with a smaller id; a document that nothing is left of goes."""
     rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
-    found = repeated_spans(docs, 50, keep=tuple(rest)).select("doc_id", "text", "spans", *rest)
 
     def shorten(batch):
         texts, same = [], []
-        for raw, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            spans = whole_characters(raw, spans)
+        for text, found in zip(batch.column(1), batch.column(len(rest) + 2), strict=True):
+            raw = text.as_py()
+            spans = whole_characters(raw, found.as_py())
             texts.append(cut(raw, spans).decode("utf-8", "replace"))
             same.append(not spans)
-        kept = pa.array([unchanged or bool(t.strip()) for t, unchanged in zip(texts, same, strict=True)])
-        out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[3:], pa.array(same)], names=["doc_id", "text", *rest, "same"])
-        yield out.filter(kept)
+        kept = pa.array([unchanged or bool(t.strip()) for t, unchanged in zip(texts, same, strict=True)], pa.bool_())
+        out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[2 : len(rest) + 2], pa.array(same, pa.bool_())], names=["doc_id", "text", *rest, "same"])
+        return out.filter(kept)
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    cut_down = arrow_map(found, shorten, f"doc_id long, text string, {kinds}, same boolean")
+    cut_down = repeated_spans(docs, 50, keep=tuple(rest), then=shorten, then_schema=f"doc_id long, text string, {kinds}, same boolean")
     length = F.length("text").cast(docs.schema["n_chars"].dataType)
     return cut_down.withColumn("n_chars", F.when(F.col("same"), F.col("n_chars")).otherwise(length)).select(*COLUMNS)
 

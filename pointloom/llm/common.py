@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -52,6 +53,21 @@ class Scratch:
         fs.delete(path, True)
 
 
+    def keep(self, *names: str) -> None:
+        """Deletes all tables and files but these, once nothing reads the others any more."""
+        path, fs = self._fs(self.base)
+        for status in fs.listStatus(path):
+            if status.getPath().getName() not in names:
+                fs.delete(status.getPath(), True)
+
+
+def plain_scan(df: DataFrame) -> bool:
+    """Whether a frame is columns of files and nothing else, so that each reading has the same partitions."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    heads = [re.sub(r"^[\s:+*-]*", "", line) for line in lines]
+    return bool(heads) and all(h.startswith(("Project [", "Relation [")) for h in heads)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -176,7 +192,9 @@ def components(links: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
 
 
 class Parts:
-    """A written table whose partitions are read several times, and answers that come back to each of them.
+    """A table in files whose partitions are read several times, and answers that come back to each of them.
+
+    What is not a plain reading of files is written first.
 
     Texts then need no shuffle: what is found about rows elsewhere goes to a file for each partition in the shared
     folder, and the next pass over a partition reads its own. A row is named by partition and number within it.
@@ -184,7 +202,7 @@ class Parts:
 
     def __init__(self, scratch: Scratch, df: DataFrame, name: str = "rows"):
         self.scratch, self.name = scratch, name
-        self.df = scratch.table(df, name)
+        self.df = df if plain_scan(df) else scratch.table(df, name)
 
     def map(self, fn: Callable[[int, pa.RecordBatch, np.ndarray], Iterator[pa.RecordBatch]], schema: str, columns: list[str] | None = None) -> DataFrame:
         """fn(partition, batch, row names) over the batches of each partition; row names rise by one from partition << 40."""

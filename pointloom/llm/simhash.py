@@ -152,6 +152,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = distinct.join(star.withColumnRenamed("node", "fp"), "fp", "left").selectExpr("fp", "first", "coalesce(root, fp) root")
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     known = scratch.table(named.join(lowest, "root").select("fp", "component_id"), "known")
+    scratch.keep("fps", "known")
     return fps.join(known, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
@@ -240,6 +241,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, at_least: float = 0.8,
     grouped = rows.select("rid", "id", "digest").join(roots_of, "digest").select("rid", "id", "root")
     stay = grouped.groupBy("root").agg(F.min(F.struct("id", "rid")).alias("first")).select(F.col("first.rid").alias("rid"))
     kept = parts.deliver(stay, "kept")
+    scratch.keep(parts.name, "kept")
 
     def keep(part, batch, rid):
         yield batch.filter(pa.array(np.isin(rid, kept(part), assume_unique=True)))

@@ -37,7 +37,7 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import Scratch, flat, mix, pieces, release, table
+from pointloom.llm.common import Scratch, flat, mix, pieces, plain_scan, release, table
 from pointloom.llm.wordscan import prefix_hash, stretch_hash
 
 GRAM = 16
@@ -245,16 +245,18 @@ def load(base: str, split: int) -> dict[tuple[int, int], bytes]:
         return pickle.loads(source.read())
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, then_schema: str = "") -> DataFrame:
     """Rows (doc_id, text binary, *keep, spans array of (start, end) in bytes): what repeats a smaller document.
 
+    `then` turns batches of these rows into others of `then_schema` in the same worker.
+
     A byte belongs to a span if a stretch of `length` bytes that covers it also starts in a document with a smaller id.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     source = docs.select(F.col(id_col).cast("long").alias("__id"), text.alias("__text"), *keep)
-    source = scratch.table(source, "docs")
+    source = source if plain_scan(source) else scratch.table(source, "docs")
     size = source.select(F.coalesce(F.sum(F.length("__text")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(96, -(-size // PER_BUCKET))
     first_dir, second_dir = scratch.path("whole"), scratch.path("parts")
@@ -337,6 +339,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 np.add.at(gone, start + length, -1)
             yield batch, where, np.cumsum(gone[:-1]) > 0
 
+    plain, then = then is None, then or (lambda batch: batch)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     kept_kinds = "".join(f", `{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
 
@@ -364,14 +367,14 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
         for batch, (lo, hi, a), marks in covered(batches):
             if hi - lo > 1 or not (a or lo in held) and len(marks) == int(flat(batch.column(1).slice(lo, 1))[1][1]):
-                yield emit(batch, lo, hi, marks)
+                yield then(emit(batch, lo, hi, marks))
                 continue
             size = int(flat(batch.column(1).slice(lo, 1))[1][1])
             total = held.setdefault(lo, (batch, hi, np.zeros(size, bool)))[2]
             total[a : a + len(marks)] |= marks
             if a + len(marks) == size:
                 held.pop(lo)
-                yield emit(batch, lo, hi, total)
+                yield then(emit(batch, lo, hi, total))
 
     def answers(ask, by, base):
         asked = source.select("__id", "__text").mapInArrow(ask, ASK_SQL)
@@ -380,6 +383,9 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
     answers(ask_whole, whole, first_dir)
     answers(ask_parts, in_part(length), second_dir)
+    scratch.keep("docs", "whole", "parts")
+    if not plain:
+        return source.mapInArrow(out, then_schema)
     found = source.mapInArrow(out, f"__id long, __text binary{kept_kinds}, spans array<struct<start:long,end:long>>")
     return found.withColumnsRenamed({"__id": id_col, "__text": text_col})
 
@@ -395,14 +401,14 @@ def cut(raw: bytes, spans: list) -> bytes:
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def digest(batches):
-        for batch in batches:
-            raw, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            kept = [cut(r, s) for r, s in zip(raw, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array([len(r) - len(k) for r, k in zip(raw, kept, strict=True)], pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-            )
-
-    found = repeated_spans(table(spark, sf_dir, "documents"))
-    return found.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    def digest(batch):
+        n, kept = [], []
+        for r, s in zip(batch.column(1), batch.column(2), strict=True):
+            raw = r.as_py()
+            n.append(len(raw))
+            left = cut(raw, s.as_py())
+            kept.append((len(raw) - len(left), hashlib.sha256(left).hexdigest()))
+        spans = pc.cast(pc.list_value_length(batch.column(2)), pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([k[0] for k in kept], pa.int64()), spans, pa.array([k[1] for k in kept], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return repeated_spans(table(spark, sf_dir, "documents"), then=digest, then_schema="doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
