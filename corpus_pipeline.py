@@ -19,6 +19,7 @@ from pointloom.llm.substrings import cut, repeated_spans
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.35
+TOKEN_CACHE = 100_000  # entries; the workers here have four other stages behind them
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +78,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces of the remaining documents in sequences of 4096 tokens."""
-    return pack(docs, 4096, 1)
+    return pack(docs, 4096, 1, kept=TOKEN_CACHE)
 
 
 STAGES = [

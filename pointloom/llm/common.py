@@ -114,6 +114,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     """mapInArrow with a function of one batch; `uses` names a cache that outlives the task."""
 
     def over(batches):
+        release(uses)
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)

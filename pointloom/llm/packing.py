@@ -84,11 +84,11 @@ def places(lengths: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "bin", "n", "offset"), columns, strict=True))
 
 
-def token_pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", kept: int | None = None) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, part)."""
 
     def of(batch):
-        ids = word_ids(vocabulary)
+        ids = word_ids(vocabulary, kept)
         data, offsets = flat(batch.column(1))
         raw, end, out = data.tobytes(), np.array([end_id], "<u4").tobytes(), []
         for doc, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -105,10 +105,13 @@ def token_pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str, i
     return arrow_map(source, of, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part int", uses="tokens")
 
 
-def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset): where each piece of each document lies."""
+def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", kept: int | None = None) -> DataFrame:
+    """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset): where each piece of each document lies.
+
+    `kept` bounds the entries of a worker's token cache, which trades memory for time and changes no result.
+    """
     scratch = Scratch(docs.sparkSession, "packing")
-    cut = scratch.table(token_pieces(docs, capacity, end_id, vocabulary or default_vocabulary(), id_col, text_col), "pieces")
+    cut = scratch.table(token_pieces(docs, capacity, end_id, vocabulary or default_vocabulary(), id_col, text_col, kept), "pieces")
     sizes = scratch.table(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "sizes")  # capacity x 64 rows at most
     lengths = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     plan = places(lengths, capacity)

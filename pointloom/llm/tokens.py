@@ -19,7 +19,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 KEPT = 400_000  # entries of each of two generations of a cache, about 400 MB a worker
 #: The split pattern that the vocabulary file itself states.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_made: dict[str, WordIds] = {}
+_made: dict[tuple[str, int], WordIds] = {}
 
 
 class WordIds:
@@ -93,11 +93,12 @@ class WordIds:
 
 
 def word_ids(path: str, kept: int | None = None) -> WordIds:
-    """One per worker process and file, until the worker goes on to another operator."""
+    """One per worker process, file and size of cache, until the worker goes on to another operator."""
     CACHES["tokens"] = _made.clear
-    if path not in _made:
-        _made[path] = WordIds(path, kept)
-    return _made[path]
+    key = path, kept or KEPT
+    if key not in _made:
+        _made[key] = WordIds(path, kept)
+    return _made[key]
 
 
 def default_vocabulary() -> str:
