@@ -157,6 +157,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 HASHES, BANDS = 256, 32
+CROWD, CROWD_BYTES = 512, 8 << 20  # classes and bytes of sets that a block holds on average
 _FACTORS = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64)).astype(np.uint32)
 
 
@@ -181,6 +182,94 @@ def jaccard(a: bytes | pa.Buffer, b: bytes | pa.Buffer) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
+def joined_sets(data: np.ndarray, sizes: np.ndarray, labels: np.ndarray, side: np.ndarray | None, at_least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, row) that join the components of Jaccard similarity `at_least` among sets that stand one after another.
+
+    Rows of one label are joined already. Every other pair is compared, or only those of different sides, unless links
+    found before have joined its rows. Rows just linked are compared next, so that a group ends once its centre is met.
+    """
+    order = np.argsort(sizes, kind="stable")
+    starts = np.cumsum(sizes) - sizes
+    _, code = np.unique(data, return_inverse=True)
+    code = np.concatenate([code[starts[i] : starts[i] + sizes[i]] for i in order.tolist()]) if len(data) else np.zeros(0, np.int64)
+    sizes = sizes[order]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    label = np.unique(labels[order], return_inverse=True)[1]
+    side = None if side is None else side[order]
+    done, flag = np.zeros(len(order), bool), np.zeros(int(code.max(initial=-1)) + 1, np.int32)
+    a_out, b_out = [], []
+    for start in range(len(order)):
+        stack = [start]
+        while stack:
+            q = stack.pop()
+            if done[q]:
+                continue
+            done[q] = True
+            lo = int(np.searchsorted(sizes, sizes[q] * at_least - 1, "left"))
+            hi = int(np.searchsorted(sizes, sizes[q] / max(at_least, 1e-9) + 1, "right"))
+            open_ = ~done[lo:hi] & (label[lo:hi] != label[q])
+            if side is not None:
+                open_ &= side[lo:hi] != side[q]
+            to = lo + np.flatnonzero(open_)
+            if not len(to):
+                continue
+            own = code[ends[q] : ends[q + 1]]
+            flag[own] = 1
+            if len(to) <= 16:
+                both = np.array([flag[code[ends[i] : ends[i + 1]]].sum() for i in to.tolist()])
+            else:
+                upto = np.concatenate([[0], np.cumsum(flag[code[ends[lo] : ends[hi]]])])
+                both = upto[ends[to + 1] - ends[lo]] - upto[ends[to] - ends[lo]]
+            flag[own] = 0
+            either = sizes[to] + sizes[q] - both
+            hit = to[np.where(either > 0, both / np.maximum(either, 1), 1.0) >= at_least]
+            if len(hit):
+                a_out.append(np.full(len(hit), order[q]))
+                b_out.append(order[hit])
+                label[np.isin(label, label[hit])] = label[q]
+                stack.extend(hit.tolist())
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out))
+
+
+def crowd_links(members: DataFrame, held: DataFrame, at_least: float, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join what is alike in each group of members (key, node, root), given their sets (node, set).
+
+    A large group is cut into blocks and each pair of blocks is compared in a task of its own.
+    """
+    sized = scratch.table(members.join(held.select("node", F.octet_length("set").alias("bytes")), "node"), "crowd")
+    cuts = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    cuts = cuts.select("key", F.greatest(F.ceil(F.col("n") / CROWD), F.ceil(F.col("bytes") / CROWD_BYTES)).cast("int").alias("blocks"))
+    met = sized.join(cuts, "key").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "root", "bytes")
+    met = scratch.table(met, "blocks")
+    total = met.selectExpr("coalesce(sum(bytes), 0) n").first()["n"]
+    groups = max(64, total // CROWD_BYTES)  # each of many small bands
+    met = met.drop("bytes").join(held, "node").withColumn("group", F.pmod(F.xxhash64("key", "x", "y"), F.lit(groups)))
+
+    def meet(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("key", "ascending"), ("x", "ascending"), ("y", "ascending")])
+        key, x, y, mine, node, root = (group.column(c).to_numpy() for c in ("key", "x", "y", "mine", "node", "root"))
+        sizes = pc.binary_length(group.column("set")).to_numpy() // 8
+        raw = group.column("set").combine_chunks()
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        cut = np.append(np.flatnonzero(new), len(key))
+        a_out, b_out = [], []
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if len(np.unique(root[lo:hi])) == 1:
+                continue
+            data, _ = flat(raw.slice(lo, hi - lo))
+            side = None if x[lo] == y[lo] else mine[lo:hi] == x[lo]
+            a, b = joined_sets(np.frombuffer(data.tobytes(), np.uint64), sizes[lo:hi].astype(np.int64), root[lo:hi], side, at_least)
+            a_out.append(node[lo + a])
+            b_out.append(node[lo + b])
+        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a_out, b_out))
+        return pa.table({"a": a, "b": b})
+
+    return met.groupBy("group").applyInArrow(meet, "a long, b long")
+
+
 def drop_near_duplicates(docs: DataFrame, words: int = 5, at_least: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` without near-duplicates: of each group linked by Jaccard similarity `at_least` of their sets
     of shingles, the row with the smallest id stays.
@@ -188,9 +277,11 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, at_least: float = 0.8,
     Equal texts meet first, as one class. Candidates are classes whose fingerprints differ by `radius` bits at most (the
     grid join above) and, since fingerprints of texts of similarity 0.8 may differ by sixteen bits, where bit counts no
     longer part anything, classes that share a band of eight minima of their shingles (0.997 of all pairs at 0.8 share
-    one of 32). A class is compared with the smallest and the largest of every band it stands in, on whole sets of
-    shingles; classes that only meet in a band without being like either of those two may stay apart. Null and empty
-    texts are one class. Texts pass no shuffle; see Parts.
+    one of 32). All candidates are compared on whole sets of shingles, in two steps: a class first meets the smallest
+    and the largest of every band it stands in and the smallest of its fingerprint and of near ones. Where a band, a
+    fingerprint or two near ones then still hold classes of several groups, all their other pairs are compared in blocks
+    until links join them, so the result does not depend on the order of rows. Null and empty texts are one class.
+    Texts pass no shuffle; see Parts.
     """
     scratch = Scratch(docs.sparkSession, "simhash-texts")
     parts = Parts(scratch, docs)
@@ -210,12 +301,16 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, at_least: float = 0.8,
     rows = scratch.table(parts.map(prints, "rid long, id long, digest binary, fp long, keys array<long>", columns), "prints")
     classes = scratch.table(rows.groupBy("digest").agg(F.min(F.struct("id", "rid")).alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")).select("digest", F.col("first.rid").alias("node"), "fp", "keys"), "classes")
     banded = classes.select("node", F.explode("keys").alias("key"))
-    ends = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    met = banded.join(ends, "key").select("node", F.explode(F.array("low", "high")).alias("other"))
+    bands = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"same{i}") for i in range(2)])
+    # of bands that hold the same classes, one
+    bands = bands.where("n > 1").groupBy("n", "low", "high", "same0", "same1").agg(F.min("key").alias("key"))
+    bands = scratch.table(bands.select("key", "n", "low", "high"), "bands")
+    members = scratch.table(banded.join(bands.where("n > 2"), "key").select("key", "node", "low", "high"), "members")
+    met = members.select("node", F.explode(F.array("low", "high")).alias("other")).unionByName(bands.where("n = 2").selectExpr("low node", "high other"))
     by_fp = scratch.table(classes.groupBy("fp").agg(F.min("node").alias("low")), "by-fp")
     alike = classes.join(by_fp, "fp").selectExpr("node", "low other")
-    near = fingerprint_links(by_fp.select("fp"), radius)
-    near = near.join(by_fp.selectExpr("fp a", "low node"), "a").join(by_fp.selectExpr("fp b", "low other"), "b").select("node", "other")
+    near_fps = scratch.table(fingerprint_links(by_fp.select("fp"), radius), "near-fps")
+    near = near_fps.join(by_fp.selectExpr("fp a", "low node"), "a").join(by_fp.selectExpr("fp b", "low other"), "b").select("node", "other")
     pairs = met.unionByName(alike).unionByName(near).selectExpr("least(node, other) a", "greatest(node, other) b").where("a < b").distinct()
     pairs = scratch.table(pairs, "pairs")
     wanted = parts.deliver(pairs.selectExpr("a rid").union(pairs.selectExpr("b rid")).distinct(), "wanted")
@@ -236,7 +331,21 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, at_least: float = 0.8,
 
     both = pairs.join(held.selectExpr("node a", "set x"), "a").join(held.selectExpr("node b", "set y"), "b").select("a", "b", "x", "y")
     links = scratch.table(arrow_map(both, verify, "a long, b long"), "links")
-    star = components(links, scratch)
+    star = scratch.table(components(links, scratch, "cc-first"), "star")
+
+    # what is left: bands, fingerprints and pairs of near fingerprints that hold several groups and a pair not yet compared
+    root = F.coalesce("root", "node").alias("root")
+    rooted = members.join(star, "node", "left").select("key", "node", root)
+    several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    of_fp = scratch.table(classes.select("node", "fp").join(star, "node", "left").select("fp", "node", root), "of-fp")
+    spread = scratch.table(of_fp.groupBy("fp").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")), "spread")
+    one = spread.where("n > 2 and lo < hi").selectExpr("xxhash64(fp) key", "fp")
+    a, b = (spread.selectExpr(f"fp {x}", f"n n{x}", f"lo lo{x}", f"hi hi{x}") for x in "ab")
+    two = near_fps.join(a, "a").join(b, "b").where("na + nb > 2 and least(loa, lob) < greatest(hia, hib)")
+    two = two.selectExpr("xxhash64(a, b) key", "explode(array(a, b)) fp")
+    rest = rooted.join(several, "key").unionByName(of_fp.join(one.unionByName(two), "fp").select("key", "node", "root")).distinct()
+    more = scratch.table(crowd_links(rest, held, at_least, scratch), "more")
+    star = components(star.selectExpr("node a", "root b").unionByName(more), scratch)
     roots_of = classes.select("digest", "node").join(star, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     grouped = rows.select("rid", "id", "digest").join(roots_of, "digest").select("rid", "id", "root")
     stay = grouped.groupBy("root").agg(F.min(F.struct("id", "rid")).alias("first")).select(F.col("first.rid").alias("rid"))

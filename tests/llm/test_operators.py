@@ -100,6 +100,46 @@ def test_drop_near_duplicates(spark, make):
     assert kept - {None} == expected - {None} and got.count() == len(set(root))
 
 
+def _star(edits, at):
+    """A text of 400 words among its edits: each like it (0.86), but not like each other (about 0.75)."""
+    rng = np.random.default_rng(7)
+    original = [f"w{i}" for i in rng.integers(0, 10**6, 404)]
+    texts = []
+    for e in range(edits):
+        words = list(original)
+        for i in rng.permutation(40)[:6]:
+            words[10 * i + 7] = f"x{e}-{i}"
+        texts.append(" ".join(words))
+    texts.insert(at, " ".join(original))
+    return texts
+
+
+@pytest.mark.parametrize("block", [512, 50])
+def test_drop_near_duplicates_star(spark, block, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", block, raising=False)
+    texts = _star(300, 150)
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    root = cases.groups(len(texts), lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect())
+    assert kept == sorted(set(root)) == [0]
+
+
+def test_joined_sets():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, (6, 60)).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(60) < 0.06, rng.integers(0, 2**63, 60).astype(np.uint64), base[i % 6])) for i in range(120)]
+    sets += [np.zeros(0, np.uint64), np.zeros(0, np.uint64), base[0][:50]]
+    n = len(sets)
+    data, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+    expected = cases.groups(n, lambda a, b: simhash.jaccard(sets[a].tobytes(), sets[b].tobytes()) >= 0.8)
+    for side in (None, np.arange(n) % 2 == 0):
+        want = expected if side is None else cases.groups(n, lambda a, b: side[a] != side[b] and simhash.jaccard(sets[a].tobytes(), sets[b].tobytes()) >= 0.8)
+        a, b = simhash.joined_sets(data, sizes, np.arange(n), side, 0.8)
+        pairs = {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)}
+        assert cases.groups(n, lambda i, j: frozenset((i, j)) in pairs) == want
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 2), (2, 3), (7, 5)], [(i, i + 1) for i in range(60)] + [(100, 1000 + i) for i in range(50)]])
 def test_components(spark, edges):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(3), Scratch(spark, "t")).collect()}
