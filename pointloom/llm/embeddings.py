@@ -3,7 +3,8 @@
 A table turns every vector `k` times (random signs and a Hadamard transform, three rounds) and takes the signed axis
 that it lies closest to; the `k` axes name its bucket. A vector also stands in the buckets where one of its axes gives
 way to the second closest, cheapest changes first (multiprobe). k follows from the number of vectors, so that a bucket
-keeps about as many random vectors at any size. All pairs of a bucket are compared in double precision; nothing below
+keeps about as many random vectors at any size; the number of tables follows from k, so that pairs right at the threshold
+are found as often at any size (`tables_for`). All pairs of a bucket are compared in double precision; nothing below
 the threshold links. A pair that meets in several buckets counts in the first of them only, which the bucket names that
 every vector carries tell.
 
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from pointloom.llm.common import Scratch, arrow_map, components, mix, roots, table
 
 TABLES, PROBES, BLOCK, SMALL = 6, 3, 2048, 48
+RECALL = 0.997  # of pairs right at the threshold; about what 6 tables find with k = 2 in 64 dimensions
 
 
 def turn(x: np.ndarray, seed: int) -> np.ndarray:
@@ -80,6 +82,21 @@ def buckets(x: np.ndarray, k: int, tables: int = TABLES, probes: int = PROBES) -
     return out
 
 
+def tables_for(k: int, wide: int, at_least: float, tables: int = TABLES, probes: int = PROBES) -> int:
+    """Tables, `tables` or more, of which one at least holds a pair at the threshold with probability RECALL; tried on random pairs."""
+    rng, met, tried = np.random.default_rng([k, wide]), 0, 0
+    for _ in range(8):
+        x, y = rng.normal(size=(2, 250, wide))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x * y).sum(1, keepdims=True) * x
+        y = at_least * x + math.sqrt(max(0.0, 1 - at_least**2)) * y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+        a, b = buckets(x, k, 4, probes), buckets(y, k, 4, probes)
+        met += int((a[:, :, :, None] == b[:, :, None, :]).any((2, 3)).sum())
+        tried += 4 * len(x)
+    apart = 1 - max(met, 1) / tried
+    return max(tables, math.ceil(math.log(1 - RECALL) / math.log(apart))) if apart > 0 else tables
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """Rows of equal length from a binary column of doubles."""
     raw = column.to_pylist()
@@ -123,7 +140,7 @@ def linked_small(x: np.ndarray, segment: np.ndarray, widest: int, at_least: floa
 
 
 def near_vectors(vectors: DataFrame, at_least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
-    """Rows (vec_id, n_links, component_id), one per input row."""
+    """Rows (vec_id, n_links, component_id), one per input row. `tables` is the least number of tables."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
 
@@ -148,6 +165,7 @@ def near_vectors(vectors: DataFrame, at_least: float = 0.9, id_col: str = "vec_i
     sizes = [r["d"] for r in classes.select(F.length("unit").alias("d")).distinct().limit(10_000).collect()]
     d = max([8, *sizes]) // 8
     k = max(1, min(6, round(math.log(max(n, 2) / 4) / math.log(2 << max(1, (d - 1).bit_length())))))
+    tables = max(tables_for(k, wide, at_least, tables, probes) for wide in {1 << max(1, (v // 8 - 1).bit_length()) for v in [8 * d, *sizes]})
 
     def place(batch):
         """A row for each vector and bucket."""

@@ -355,6 +355,21 @@ def test_embeddings(spark, block):
     assert all(got[i]["n_links"] <= links[i] for i in range(len(rows)))
 
 
+@pytest.mark.parametrize("k", [3, 4])
+def test_embeddings_recall_at_threshold(spark, k, monkeypatch):
+    """Pairs at cosine 0.9 with the k of larger tables, which n follows from."""
+    rng = np.random.default_rng(k)
+    x, y = rng.normal(size=(2, 1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = (0.9 + 1e-9) * x + np.sqrt(1 - (0.9 + 1e-9) ** 2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    monkeypatch.setattr(embeddings, "round", lambda _: k, raising=False)
+    table = spark.createDataFrame(list(enumerate(np.concatenate([x, y]).tolist())), "vec_id long, embedding array<double>")
+    found = embeddings.near_vectors(table).where("vec_id < 1500 and n_links > 0").count()
+    print(k, found / 1500)
+    assert found >= 0.99 * 1500
+
+
 def test_embeddings_empty(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
