@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir; a temporary one only where one JVM runs everything (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pointloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -164,32 +166,47 @@ def _stars(batches):
             yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(r)], schema=kind)
 
 
-def components(links: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
+HUBS = 1000  # keys that may stand for over a thousandth of all rows each: fewer than this
+
+
+def spread_join(rows: DataFrame, known: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with `known`, which has a row a key and in column `weight` the number of rows that carry it.
+
+    A key of over a HUBS-th of `total` rows would gather them in one task. There are fewer than HUBS such keys, whatever
+    the size of the input, so their rows of `known` are broadcast and `rows` stay where they are.
+    """
+    bound = max(total // HUBS, 1)
+    heavy, light = known.where(F.col(weight) > bound).drop(weight), known.where(F.col(weight) <= bound).drop(weight)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, how)
+    return rows.join(F.broadcast(heavy), key).unionByName(rest)
+
+
+def components(links: DataFrame, scratch: Scratch, name: str = "cc", rounds: int = 200) -> DataFrame:
     """Connected components of links (a, b): rows (node, root), root the smallest node; nodes equal to their root are left out.
 
     Alternates large-star and small-star steps (each contracts every neighbourhood onto its smallest node) until the
-    set of links stays as it is; each round is a written table. Memory is bounded by Spark's joins: nothing is collected.
+    set of links stays as it is; each round is a written table. Memory is bounded by Spark's joins: nothing is collected,
+    and the neighbourhoods of hubs are not gathered (see spread_join). Raises where `rounds` do not reach the end.
     """
-    spark = links.sparkSession
     now = links.selectExpr("greatest(a, b) a", "least(a, b) b").where("a <> b").mapInArrow(_stars, "a long, b long").distinct()
     now = scratch.table(now, f"{name}-0")
-    mark = ("count(*) n", "coalesce(sum(xxhash64(a, b) % 1000003), 0) h")
+    mark = ("count(*) n", "sum(cast(xxhash64(a, b) as decimal(38, 0))) h", "bit_xor(xxhash64(b, a)) x")
     seen = now.selectExpr(*mark).first()
-    for i in range(1, 200):
+    for i in range(1, rounds):
         if not seen["n"]:
-            break
+            return now.selectExpr("a node", "b root")
         both = now.unionByName(now.selectExpr("b a", "a b"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) m")
-        large = both.where("b > a").join(low, "a").selectExpr("b a", "m b").where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).selectExpr("a", "least(a, m) m", "n")
+        large = spread_join(both.where("b > a"), low, "a", "n", seen["n"]).selectExpr("b a", "m b").where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        joined = spread_join(large, low, "a", "n", seen["n"])
         small = joined.selectExpr("a", "m b").unionByName(joined.where("b <> m").selectExpr("b a", "m b")).distinct()
         now = scratch.table(small, f"{name}-{i}")
         scratch.drop(f"{name}-{i - 1}")
         before, seen = seen, now.selectExpr(*mark).first()
         if before == seen:
-            break
-    return now.selectExpr("a node", "b root")
+            return now.selectExpr("a node", "b root")
+    raise RuntimeError(f"links still change after {rounds} rounds")
 
 
 class Parts:

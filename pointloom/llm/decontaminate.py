@@ -2,15 +2,17 @@
 
 Of every 10 words in a row the smallest hash of 4 words is kept (7 hashes to a window), on both sides by the same rule,
 so any 10 words that a document and a benchmark item share leave at least one common fingerprint. Fingerprints are
-joined, and every meeting is extended word by word to both sides; it counts if 10 words or more agree. Items of fewer
-words are looked up whole, by the hash of as many words.
+joined, and a document's words around each that meets are extended to all 10-word windows that cover it, which count
+where an item has the same window. So a meeting costs seven windows whatever repeats: a document of one word and an item
+of the same word meet at every position, but no pairs of positions are listed, and items are listed once for each
+different window of a document. Items of fewer words are looked up whole, by the hash of as many words.
 
 The benchmark goes to the tasks as an index. Its size is checked: an index has `BLOCK_WORDS` words at most, and a larger
-benchmark is cut into several, written to the shared folder, which every task reads one after the other over each batch
-of documents. Documents are never shuffled, so common passages or long documents gather nowhere.
+benchmark is cut into several, written to the shared folder, which every task reads one after the other over each
+`LARGE` bytes of text. Documents are never shuffled, so common passages or long documents gather nowhere.
 
-Null and empty texts have no words and no hits; so have null or empty items. Repeated items count once by id. Other
-columns of the inputs are ignored.
+Null and empty texts have no words and no hits; so have null or empty items. An item without id marks words as hit but
+is not listed. Repeated items count once by id. Other columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -29,27 +31,24 @@ from pointloom.llm.wordscan import leftmost_minimum, runs, words
 
 WINDOW, GRAM = 10, 4
 BLOCK_WORDS = 2_000_000
-BUDGET = 1 << 21  # bytes of text that are handled at a time
+BUDGET, LARGE = 1 << 21, 1 << 24  # bytes of text that are handled at a time, with one index and with several
 
 
 class Index:
-    """Fingerprints of the items of a block."""
+    """Fingerprints and windows of the items of a block."""
 
-    def __init__(self, ids: list[str], texts: list[bytes], window: int = WINDOW, gram: int = GRAM):
+    def __init__(self, ids: list[str | None], texts: list[bytes], window: int = WINDOW, gram: int = GRAM):
         self.ids, self.window, self.gram = np.array(ids, object), window, gram
         data = np.frombuffer(b"".join(texts), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        self.hash, self.item, self.first = words(data, offsets)
-        n = np.diff(self.first)
-        keys, at = fingerprints(self.hash, self.item, window, gram)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at = keys[order], at[order]
-        self.short = {}  # number of words -> hashes of whole items, items
-        for k in np.unique(n[(n > 0) & (n < window)]).tolist():
-            own = np.flatnonzero(n == k)
-            found = runs(self.hash, k)[self.first[own]]
-            order = np.argsort(found, kind="stable")
-            self.short[k] = (found[order], own[order])
+        hashes, item, first = words(data, offsets)
+        n = np.diff(first)
+        self.keys = np.unique(fingerprints(hashes, item, window, gram)[0])
+        self.whole = {}  # number of words -> hashes of windows or of whole items, in order, and their items
+        for k in np.unique(np.minimum(n[n > 0], window)).tolist():
+            found = runs(hashes, k)
+            at = np.flatnonzero(item[: len(found)] == item[k - 1 :]) if k == window else first[:-1][n == k]
+            self.whole[k] = distinct(found[at], item[at])
 
 
 def fingerprints(hashes: np.ndarray, doc: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,6 +60,15 @@ def fingerprints(hashes: np.ndarray, doc: np.ndarray, window: int, gram: int) ->
     return grams[at], at
 
 
+def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs, in order."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
 def meetings(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions (in keys, in sorted_keys) of all equal pairs."""
     lo, hi = np.searchsorted(sorted_keys, keys, "left"), np.searchsorted(sorted_keys, keys, "right")
@@ -69,45 +77,37 @@ def meetings(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.
     return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
 
-def hits(index: Index, hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, end word, item) of the stretches of words that agree with an item."""
-    keys, at = fingerprints(hashes, doc, index.window, index.gram)
-    of, to = meetings(index.keys, keys)
-    p, q = at[of], index.at[to]
-    # one meeting of a document, an item and a shift is enough as long as it is extended: keep the first of those next to each other
-    start, mine = p.copy(), q.copy()
-    live = np.arange(len(p))
-    while len(live):
-        a, b = start[live] - 1, mine[live] - 1
-        ok = (a >= 0) & (b >= 0)
-        ok[ok] = (hashes[a[ok]] == index.hash[b[ok]]) & (doc[a[ok]] == doc[p[live[ok]]]) & (index.item[b[ok]] == index.item[q[live[ok]]])
-        live = live[ok]
-        start[live] -= 1
-        mine[live] -= 1
-    _, one = np.unique(np.stack([start, mine]), axis=1, return_index=True) if len(start) else (None, np.zeros(0, np.int64))
-    start, mine = start[one], mine[one]
-    end, other = start.copy(), mine.copy()
-    live = np.arange(len(start))
-    while len(live):
-        a, b = end[live], other[live]
-        ok = (a < len(hashes)) & (b < len(index.hash))
-        ok[ok] = (hashes[a[ok]] == index.hash[b[ok]]) & (doc[a[ok]] == doc[start[live[ok]]]) & (index.item[b[ok]] == index.item[mine[live[ok]]])
-        live = live[ok]
-        end[live] += 1
-        other[live] += 1
-    long = end - start >= index.window
-    found = [(start[long], end[long], index.item[mine[long]])]
-    for k, (whole, items) in index.short.items():
+def hits(index: Index, hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, end word) of the stretches that an item has too, and the (document, item) pairs that meet."""
+    starts, ends, docs, items = ([np.zeros(0, np.int64)] for _ in range(4))
+    for k, (whole, item) in index.whole.items():
         grams = runs(hashes, k)
-        inside = np.flatnonzero(doc[: len(grams)] == doc[k - 1 :]) if len(grams) else np.zeros(0, np.int64)
-        of, to = meetings(whole, grams[inside])
-        found.append((inside[of], inside[of] + k, items[to]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        if k < index.window:
+            at = np.flatnonzero(doc[: len(grams)] == doc[k - 1 :]) if len(grams) else np.zeros(0, np.int64)
+        else:
+            keys, kept = fingerprints(hashes, doc, index.window, index.gram)
+            kept = kept[index.keys[np.minimum(np.searchsorted(index.keys, keys), len(index.keys) - 1)] == keys]
+            near = np.zeros(len(grams) + 1, np.int32)  # windows that cover a fingerprint which an item has
+            np.add.at(near, np.maximum(kept - (index.window - index.gram), 0), 1)
+            np.add.at(near, np.minimum(kept + 1, len(grams)), -1)
+            at = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+            at = at[doc[at] == doc[at + k - 1]]
+        place = np.minimum(np.searchsorted(whole, grams[at]), len(whole) - 1)
+        hit = whole[place] == grams[at]
+        at, place = at[hit], place[hit]
+        starts.append(at)
+        ends.append(at + k)
+        own, place = distinct(doc[at], place)  # a window that a document repeats asks once
+        of, to = meetings(whole, whole[place])
+        own, found = distinct(own[of], item[to])
+        docs.append(own)
+        items.append(found)
+    return tuple(np.concatenate(x) for x in (starts, ends, docs, items))
 
 
 def item_blocks(benchmark: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> Callable[[], list[Callable[[], Index]]]:
     """Indexes of the benchmark, each of a bounded number of words, as functions that load them in a task."""
-    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null")
+    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text"))
     size = items.select(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = -(-size // (2 * BLOCK_WORDS)) or 1  # a word takes two bytes at least, with what parts it from the next
     if blocks == 1:
@@ -141,19 +141,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def of(batch):
         data, offsets = flat(batch.column(at))
-        for lo, hi in pieces(offsets, BUDGET):
+        for lo, hi in pieces(offsets, BUDGET if len(load) == 1 else LARGE):
             part = data[offsets[lo] : offsets[hi]]
             hashes, doc, bounds = words(part, offsets[lo : hi + 1] - offsets[lo])
-            items, spans = [set() for _ in range(hi - lo)], [[] for _ in range(hi - lo)]
+            items, marks = [set() for _ in range(hi - lo)], np.zeros(len(hashes) + 1, np.int32)
             for one in load:
                 index = one()
-                start, end, item = hits(index, hashes, doc)
-                order = np.lexsort((start, doc[start]))
-                for d, a, b, i in zip(doc[start][order].tolist(), start[order].tolist(), end[order].tolist(), index.ids[item[order]].tolist(), strict=True):
-                    items[d].add(i)
-                    spans[d].append((a, b))
-            first = bounds[:-1].tolist()
-            spans = [[{"start": a - first[d], "end": b - first[d]} for a, b in merged(x)] for d, x in enumerate(spans)]
+                start, end, docs_, found = hits(index, hashes, doc)
+                np.add.at(marks, start, 1)
+                np.add.at(marks, end, -1)
+                for d, i in zip(docs_.tolist(), index.ids[found].tolist(), strict=True):
+                    if i is not None:
+                        items[d].add(i)
+            spans = [[] for _ in range(hi - lo)]
+            for d, a, b in zip(*(x.tolist() for x in covered(np.cumsum(marks[:-1]) > 0, doc, bounds)), strict=True):
+                spans[d].append({"start": a, "end": b})
             out = [c.slice(lo, hi - lo) for c in batch.columns[: len(columns)]]
             yield pa.RecordBatch.from_arrays([*out, pa.array(np.diff(bounds), pa.int64()), pa.array(spans, span), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=[*columns, "n_words", "spans", "items"])
 
@@ -161,15 +163,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return arrow_map(source, of, f"{kinds}, n_words long, spans array<struct<start:int,end:int>>, items array<string>")
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Union of ranges that touch or overlap."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def covered(live: np.ndarray, doc: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, end) of the runs of marked words, in words of their document."""
+    edge = np.ones(len(live) + 1, bool)
+    edge[1:-1] = (live[1:] != live[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(edge) if len(live) else np.zeros(1, np.int64)
+    begin, end = at[:-1][live[at[:-1]]], at[1:][live[at[:-1]]]
+    return doc[begin], begin - bounds[doc[begin]], end - bounds[doc[begin]]
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 A table turns every vector `k` times (random signs and a Hadamard transform, three rounds) and takes the signed axis
 that it lies closest to; the `k` axes name its bucket. A vector also stands in the buckets where one of its axes gives
-way to the second closest, cheapest changes first (multiprobe). k follows from the number of vectors, so that a bucket
-keeps about as many random vectors at any size; the number of tables follows from k, so that pairs right at the threshold
-are found as often at any size (`tables_for`). All pairs of a bucket are compared in double precision; nothing below
-the threshold links. A pair that meets in several buckets counts in the first of them only, which the bucket names that
-every vector carries tell.
+way to the second closest, cheapest changes first (multiprobe). The number of tables follows from k, so that pairs right
+at the threshold are found as often at any size (`tables_for`), and k from the number of vectors: the one that sends the
+fewest bytes (`plan`), as more axes cost more tables but bring fewer vectors together that are not alike.
+
+Only names of buckets and vectors are shuffled at first. Buckets of one vector fall away, and of buckets that hold the
+same vectors one stays. Vectors then go to the buckets that are left, and all pairs there are compared in double
+precision; nothing below the threshold links. A pair that meets in several buckets counts in the first of them only,
+which the names that every vector carries tell.
 
 Equal vectors are one row with a count before anything is compared. Buckets have a bounded size: a larger one is cut
 into blocks of `BLOCK` vectors and each pair of blocks is compared in a task of its own, without listing pairs: a block
@@ -20,17 +23,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pointloom.llm.common import Scratch, arrow_map, components, mix, roots, table
+from pointloom.llm.common import Scratch, arrow_map, components, mix, roots, spread_join, table
 
-TABLES, PROBES, BLOCK, SMALL = 6, 3, 2048, 48
+TABLES, PROBES, BLOCK, SMALL = 6, 3, 8192, 48
 RECALL = 0.997  # of pairs right at the threshold; about what 6 tables find with k = 2 in 64 dimensions
+DENSE = 512  # dimensions up to which a rotation is applied as one matrix
 
 
 def turn(x: np.ndarray, seed: int) -> np.ndarray:
@@ -48,6 +55,12 @@ def turn(x: np.ndarray, seed: int) -> np.ndarray:
     return x
 
 
+@lru_cache(maxsize=512)
+def rotation(wide: int, seed: int) -> np.ndarray:
+    """The matrix of `turn`, which is what a vector is multiplied with where it is narrow."""
+    return turn(np.eye(wide), seed)
+
+
 def buckets(x: np.ndarray, k: int, tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
     """(vectors, tables, probes) names of the buckets of unit vectors; the first probe is the home bucket."""
     n, d = x.shape
@@ -58,7 +71,7 @@ def buckets(x: np.ndarray, k: int, tables: int = TABLES, probes: int = PROBES) -
     for t in range(tables):
         first, second, loss = np.zeros((n, k), np.int64), np.zeros((n, k), np.int64), np.zeros((n, k))
         for j in range(k):
-            y = turn(x, 1000 * t + j)
+            y = x @ rotation(wide, 1000 * t + j) if wide <= DENSE else turn(x, 1000 * t + j)
             size = np.abs(y)
             a = size.argmax(1)
             top = size[rows, a]
@@ -82,10 +95,11 @@ def buckets(x: np.ndarray, k: int, tables: int = TABLES, probes: int = PROBES) -
     return out
 
 
+@lru_cache(maxsize=64)
 def tables_for(k: int, wide: int, at_least: float, tables: int = TABLES, probes: int = PROBES) -> int:
     """Tables, `tables` or more, of which one at least holds a pair at the threshold with probability RECALL; tried on random pairs."""
     rng, met, tried = np.random.default_rng([k, wide]), 0, 0
-    for _ in range(8):
+    while tried < 8000 or met < 400 and tried < 256_000:  # pairs that rarely meet are tried more often
         x, y = rng.normal(size=(2, 250, wide))
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         y -= (x * y).sum(1, keepdims=True) * x
@@ -97,22 +111,65 @@ def tables_for(k: int, wide: int, at_least: float, tables: int = TABLES, probes:
     return max(tables, math.ceil(math.log(1 - RECALL) / math.log(apart))) if apart > 0 else tables
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """Rows of equal length from a binary column of doubles."""
+def plan(n: int, dimensions: list[int], at_least: float, tables: int = TABLES, probes: int = PROBES) -> tuple[int, int]:
+    """(k, tables) that cost least for n vectors: bytes of bucket names, bytes of vectors sent to buckets that random vectors
+    share (once a block), and comparisons there, one of which takes about as long as a byte."""
+    widths = sorted({1 << max(1, (d - 1).bit_length()) for d in dimensions}) or [2]
+    best = None
+    for k in range(1, 9):
+        placed = probes * (t := max(tables_for(k, w, at_least, tables, probes) for w in widths))
+        met = n * probes / (2.0 * widths[0]) ** k
+        shared = 1 - math.exp(-met)
+        cost = placed * (48 + shared * max(1.0, met / BLOCK) * (8 * widths[-1] + 8 * placed * shared + 24) + met)
+        if best is None or cost < best[0]:
+            best = cost, k, t
+        if placed * 48 > best[0]:
+            break
+    return best[1:]
+
+
+def units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows scaled to length one, in double precision, and which rows can be scaled."""
+    x = x.astype(np.float64)
+    x = np.where(x == 0, 0.0, x)  # no negative zero
+    ok = np.isfinite(x).all(1)
+    top = np.where(ok, np.abs(np.where(ok[:, None], x, 0.0)).max(1), 0.0)
+    ok &= top > 0
+    x = np.where(ok[:, None], x, 0.0) / np.where(ok, top, 1.0)[:, None]
+    return x / np.maximum(np.sqrt((x * x).sum(1)), 1.0)[:, None], ok
+
+
+def by_length(column: pa.Array, kind: type) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their vectors as a matrix) of an array column, a length at a time; null components are not finite."""
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = column.offsets.to_numpy().astype(np.int64)[:-1]
+    values = column.values.to_numpy(zero_copy_only=False).astype(kind, copy=False)
+    for d in np.unique(size[size > 0]):
+        rows = np.flatnonzero(size == d)
+        for lo in range(0, len(rows), 2048):
+            own = rows[lo : lo + 2048]
+            yield own, values[first[own][:, None] + np.arange(d)]
+
+
+def matrix(column: pa.Array, kind: type) -> np.ndarray:
+    """Rows of equal length from a binary column."""
     raw = column.to_pylist()
-    return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+    return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1)
 
 
-def first_met(ids: np.ndarray, names: np.ndarray, u: np.ndarray, v: np.ndarray, name: np.ndarray) -> np.ndarray:
-    """Whether bucket `name` is the first in the list of the pair's smaller member that the other one stands in too."""
-    swap = ids[u] > ids[v]
-    lower, upper = np.where(swap, v, u), np.where(swap, u, v)
-    first = np.zeros(len(u), np.uint64)
-    for p in range(names.shape[1] - 1, -1, -1):
-        own = names[lower, p]
-        met = (names[upper] == own[:, None]).any(1)
-        first[met] = own[met]
-    return first == name
+def first_met(names: np.ndarray, u: np.ndarray, v: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Whether bucket `name` is the first that both rows of a pair stand in; names rise, and end in the highest number."""
+    ok, live = np.ones(len(u), bool), np.arange(len(u))
+    for p in range(names.shape[1]):
+        own = names[u[live], p]
+        before = own < name[live]
+        live, own = live[before], own[before]
+        if not len(live):
+            break
+        met = (names[v[live]] == own[:, None]).any(1)
+        ok[live[met]] = False
+        live = live[~met]
+    return ok
 
 
 def linked(x: np.ndarray, left: np.ndarray, right: np.ndarray, at_least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -139,76 +196,75 @@ def linked_small(x: np.ndarray, segment: np.ndarray, widest: int, at_least: floa
                 yield u[near], u[near] + step
 
 
-def near_vectors(vectors: DataFrame, at_least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
-    """Rows (vec_id, n_links, component_id), one per input row. `tables` is the least number of tables."""
+def near_vectors(vectors: DataFrame, at_least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int = PROBES, block: int = BLOCK, k: int | None = None) -> DataFrame:
+    """Rows (vec_id, n_links, component_id), one per input row. `tables` is the least number of tables; `k` is chosen where not given."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
-
-    def units(batch):
-        out = []
-        for v in batch.column(1).to_pylist():
-            try:
-                x = np.array(v, np.float64) if v else np.zeros(0)
-            except TypeError:  # a null component
-                x = np.zeros(0)
-            x = np.where(x == 0, 0.0, x)
-            top = np.abs(x).max() if len(x) else 0.0
-            out.append((x / top / np.linalg.norm(x / top)).tobytes() if top > 0 and np.isfinite(top) and np.isfinite(x).all() else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "unit"])
-
-    source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    every = scratch.table(arrow_map(source, units, "id long, unit binary"), "units")
-    classes = scratch.table(every.where("unit is not null").groupBy("unit").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    # two classes can have one smallest id if an id repeats with different vectors: classes get numbers of their own
-    classes = classes.withColumn("node", F.xxhash64("unit"))
-    n = classes.count()
-    sizes = [r["d"] for r in classes.select(F.length("unit").alias("d")).distinct().limit(10_000).collect()]
-    d = max([8, *sizes]) // 8
-    k = max(1, min(6, round(math.log(max(n, 2) / 4) / math.log(2 << max(1, (d - 1).bit_length())))))
-    tables = max(tables_for(k, wide, at_least, tables, probes) for wide in {1 << max(1, (v // 8 - 1).bit_length()) for v in [8 * d, *sizes]})
+    element = getattr(vectors.schema[vector_col].dataType, "elementType", None)
+    kind, sql_kind = (np.float32, "float") if isinstance(element, T.FloatType) else (np.float64, "double")
+
+    def read(batch):
+        digest, raw = [None] * batch.num_rows, [None] * batch.num_rows
+        for rows, x in by_length(batch.column(1), kind):
+            unit, ok = units(x)
+            for i, a, b, good in zip(rows.tolist(), x, unit, ok.tolist(), strict=True):
+                if good:
+                    digest[i], raw[i] = xxhash.xxh3_128_digest(b.tobytes()), a.tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(raw, pa.binary())], names=["id", "digest", "raw"])
+
+    source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{sql_kind}>").alias("v"))
+    every = scratch.table(arrow_map(source, read, "id long, digest binary, raw binary"), "units")
+    # a class is what has one unit vector; classes have numbers of their own, as an id may repeat with different vectors
+    classes = every.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("raw").alias("raw"))
+    classes = scratch.table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    n, total = classes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    bounds = classes.agg(F.min(F.length("raw")), F.max(F.length("raw"))).first()
+    dimensions = [x // kind().itemsize for x in bounds if x is not None]
+    k, tables = plan(n, dimensions, at_least, tables, probes) if k is None else (k, max(tables_for(k, 1 << max(1, (d - 1).bit_length()), at_least, tables, probes) for d in dimensions or [2]))
 
     def place(batch):
         """A row for each vector and bucket."""
-        length = np.array([len(v) for v in batch.column(2).to_pylist()])
+        length = pc.binary_length(batch.column(1)).to_numpy()
         for size in np.unique(length):
             own = batch.take(pa.array(np.flatnonzero(length == size)))
             for lo in range(0, own.num_rows, 2048):
                 part = own.slice(lo, 2048)
-                names = buckets(matrix(part.column(2)), k, tables, probes)
-                names = mix(names + np.uint64(size))
-                each = names.reshape(len(names), -1)
-                row, col = np.nonzero(np.ones(each.shape, bool))
-                twice = np.zeros(each.shape, bool)
-                for i in range(1, each.shape[1]):
-                    twice[:, i] = (each[:, :i] == each[:, i][:, None]).any(1)
-                row, col = row[~twice.ravel()], col[~twice.ravel()]
-                raw = [r.tobytes() for r in each]
-                took = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(each[row, col].view(np.int64)), *took.columns, pa.array([raw[i] for i in row.tolist()], pa.binary())], names=["bucket", "node", "copies", "unit", "names"])
-
-    placed = arrow_map(classes.select("node", "copies", "unit"), place, "bucket long, node long, copies long, unit binary, names binary")
-    large = scratch.table(placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    # single vectors of a bucket have no partner; blocks of large buckets meet pairwise
-    met = placed.join(large, "bucket")
-    met = met.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
-    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
-    met = met.withColumn("mine", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "copies", "unit", "names")
-    groups = max(64, n * tables * probes // 16_384)  # each of many buckets
+                names = buckets(units(matrix(part.column(1), kind))[0], k, tables, probes)
+                names = np.sort(mix(names + np.uint64(size)).reshape(part.num_rows, -1).view(np.int64), axis=1)
+                new = np.ones(names.shape, bool)
+                new[:, 1:] = names[:, 1:] != names[:, :-1]
+                node = np.repeat(part.column(0).to_numpy(), new.sum(1))
+                yield pa.RecordBatch.from_arrays([pa.array(names[new]), pa.array(node)], names=["bucket", "node"])
+
+    placed = scratch.table(arrow_map(classes.select("node", "raw"), place, "bucket long, node long"), "placed")
+    # single vectors of a bucket have no partner; of buckets that hold the same vectors, one is enough
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"same{i}") for i in range(2)])
+    shared = shared.where("n > 1").groupBy("n", "lo", "hi", "same0", "same1").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    shared = scratch.table(shared, "shared")
+    rows = shared.agg(F.coalesce(F.sum(F.col("n") * F.ceil(F.col("n") / block)), F.lit(0))).first()[0]
+    groups = max(64, int(rows) // 16_384)  # each of many buckets
+    members = spread_join(placed, shared.select("bucket", "n", F.col("n").alias("__n")), "bucket", "__n", n * tables * probes)
+    stands = members.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("at"))
+    met = classes.select("node", "copies", "raw").join(stands, "node").select("node", "copies", "raw", F.col("at.bucket").alias("names"), F.explode("at").alias("e"))
+    # blocks of large buckets meet pairwise
+    met = met.withColumn("blocks", F.ceil(F.col("e.n") / block).cast("int"))
+    met = met.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select(F.col("e.bucket").alias("bucket"), F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "copies", "raw", "names")
     met = met.withColumn("group", F.pmod(F.xxhash64("bucket", "x", "y"), F.lit(groups)))
 
     def meet(group: pa.Table) -> pa.Table:
-        length = pc.binary_length(group.column("unit"))
+        length = pc.binary_length(group.column("raw"))
         group = group.append_column("length", length).sort_by([("length", "ascending"), ("bucket", "ascending"), ("x", "ascending"), ("y", "ascending")])
         parts = [of_length(group.filter(pc.equal(group.column("length"), size))) for size in pc.unique(length).to_pylist()]
         return pa.concat_tables(parts)
 
     def of_length(group: pa.Table) -> pa.Table:
         ids, copies = group.column("node").to_numpy(), group.column("copies").to_numpy()
-        x = np.frombuffer(b"".join(group.column("unit").to_pylist()), np.float64).reshape(len(ids), -1)
-        names = np.frombuffer(b"".join(group.column("names").to_pylist()), np.uint64).reshape(len(ids), -1)
+        x = units(matrix(group.column("raw"), kind))[0]
+        many = pc.list_value_length(group.column("names")).to_numpy()
+        names = np.full((len(ids), int(many.max())), 2**63 - 1, np.int64)
+        names[np.arange(names.shape[1]) < many[:, None]] = pc.list_flatten(group.column("names")).to_numpy()
         bucket, a, b, mine = (group.column(c).to_numpy() for c in ("bucket", "x", "y", "mine"))
-        name = bucket.view(np.uint64)
         new = np.ones(len(ids), bool)
         new[1:] = (bucket[1:] != bucket[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         cut = np.append(np.flatnonzero(new), len(ids))
@@ -228,7 +284,7 @@ def near_vectors(vectors: DataFrame, at_least: float = 0.9, id_col: str = "vec_i
 
         found, a_out, b_out = np.zeros(len(ids), np.int64), [], []
         for u, v in pairs():
-            ok = (ids[u] != ids[v]) & first_met(ids, names, u, v, name[u])
+            ok = first_met(names, u, v, bucket[u])
             u, v = u[ok], v[ok]
             np.add.at(found, u, copies[v])
             np.add.at(found, v, copies[u])
@@ -242,11 +298,12 @@ def near_vectors(vectors: DataFrame, at_least: float = 0.9, id_col: str = "vec_i
     links = scratch.table(met.groupBy("group").applyInArrow(meet, "a long, b long, n long"), "links")
     star = components(links.where("a <> b").select("a", "b"), scratch)
     counts = links.where("a = b").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "node")
-    named = classes.select("node", "unit", "rep", "copies").join(star, "node", "left").join(counts, "node", "left")
-    named = named.selectExpr("unit", "rep", "coalesce(root, node) root", "copies - 1 + coalesce(n, 0) n_links")
-    lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = scratch.table(named.join(lowest, "root").select("unit", "n_links", "component_id"), "known")
-    out = every.join(known, "unit", "left")
+    named = classes.select("node", "digest", "rep", "copies").join(star, "node", "left").join(counts, "node", "left")
+    named = named.selectExpr("digest", "rep", "copies", "coalesce(root, node) root", "copies - 1 + coalesce(n, 0) n_links")
+    lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("many"))
+    known = scratch.table(spread_join(named, lowest, "root", "many", n).select("digest", "copies", "n_links", "component_id"), "known")
+    ids = every.select("id", "digest")
+    out = spread_join(ids.where("digest is not null"), known, "digest", "copies", total).unionByName(ids.where("digest is null"), allowMissingColumns=True)
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
 
 

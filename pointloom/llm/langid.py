@@ -1,8 +1,9 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Texts are lower-cased; runs of one, two and three characters are hashed to 4096 features. Document frequencies count
-every labelled document. The weights are trained on a bounded sample, `PER_LANGUAGE` documents of each language (chosen
-by a hash of text, not by order), with follow-the-regularised-leader and elastic-net penalties (L1 makes the weights
+every labelled document. The weights are trained on a bounded sample, `PER_LANGUAGE` different texts of each language
+(those of the smallest hashes, so neither order nor copies decide) and of the `LANGUAGES` most frequent values of lang at
+most, ties by name; a rarer value is not learnt. They are trained with follow-the-regularised-leader and elastic-net penalties (L1 makes the weights
 sparse, L2 keeps them small), one document at a time, by a fixed order. A fifth of the sample does not train; on it the
 temperature that the scores are divided by is chosen, so that the score of a prediction is close to its accuracy.
 
@@ -17,12 +18,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointloom.llm.common import arrow_map, release, table
 
-FEATURES, PER_LANGUAGE, EPOCHS = 4096, 600, 4
+FEATURES, PER_LANGUAGE, LANGUAGES, EPOCHS = 4096, 600, 500, 4
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -113,28 +114,28 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return out[:FEATURES], int(out[FEATURES])
 
 
-def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, most: int = LANGUAGES) -> Model:
     """Learns from columns (text, lang), both not null."""
     labelled = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    of_lang = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(of_lang)
+    keyed = labelled.withColumn("key", F.xxhash64("text"))
+    frequent = keyed.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    languages = sorted(r["lang"] for r in frequent.select("lang").collect())
     if not languages:
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES + 1, 0)), 1.0)
     frequency, n = document_frequencies(labelled.select("text"))
     idf = np.log((1 + n) / (1 + frequency)) + 1
-    # the sample: a hash of the text below a bound for each language, so about per_language rows of each; limit() only
-    # guards the driver if very many rows are equal
-    bound = F.lit(0.0)
-    for lang in languages:
-        bound = F.when(F.col("lang") == lang, min(1.0, per_language / of_lang[lang])).otherwise(bound)
-    chosen = labelled.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) < bound * float(1 << 30)).limit(3 * per_language * len(languages))
+    # per_language different texts of `most` languages at most, found by hashes alone; then one copy of each
+    named = labelled.sparkSession.createDataFrame([(x,) for x in languages], "lang string")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    sample = keyed.select("lang", "key").distinct().join(F.broadcast(named), "lang").withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "key")
+    chosen = keyed.join(F.broadcast(sample), ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text"))
 
     def features(batch):
         n = [counts(t) for t in batch.column(0).to_pylist()]
         on = [np.flatnonzero(x) for x in n]
         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([o.astype(np.uint16).tobytes() for o in on]), pa.array([x[o].tobytes() for x, o in zip(n, on, strict=True)])], names=["lang", "key", "at", "n"])
 
-    rows = arrow_map(chosen.select("text", "lang", F.xxhash64("text").alias("key")), features, "lang string, key long, at binary, n binary").collect()
+    rows = arrow_map(chosen.select("text", "lang", "key"), features, "lang string, key long, at binary, n binary").collect()
     rows.sort(key=lambda r: (r["key"], r["lang"]))
     model = Model(languages, idf, np.zeros((FEATURES + 1, len(languages))), 1.0)
     x = np.zeros((len(rows), FEATURES + 1), np.float32)
@@ -142,7 +143,8 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         full = np.zeros(FEATURES, np.float32)
         full[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.float32)
         x[i] = model.vector(full)
-    y = np.array([languages.index(r["lang"]) for r in rows], np.int64)
+    number = {x: i for i, x in enumerate(languages)}
+    y = np.array([number[r["lang"]] for r in rows], np.int64)
     aside = np.arange(len(rows)) % 5 == 4
     if len(rows):
         model.weights = follow_leader(x[~aside], y[~aside], len(languages))

@@ -7,7 +7,8 @@ rest on each side as completion. A mask lists the stretches (in characters of th
 what assistants say, with the end mark, but not the header.
 
 Rows that repeat a turn count once; several rows of one turn number are ordered by role and text. Null role or text
-counts as empty. A pair of which one side is missing has an empty prompt and `complete` false. If one conversation
+counts as empty. Turns without a number come after all others. Rows without pair id belong to no pair and yield nothing,
+so that they do not gather as one. A pair of which one side is missing has an empty prompt and `complete` false. If one conversation
 begins the other, its completion is empty. The grouped row of a pair is as large as its two conversations. Other columns
 of the input are ignored.
 """
@@ -25,7 +26,8 @@ HEAD, TAIL, END = "<|", "|>\n", "<|end|>\n"
 def preference_pairs(turns: DataFrame, learnt_role: str = "assistant") -> DataFrame:
     """From (pair_id, chosen boolean, turn, role, text) to rows (pair_id, complete, n_prompt_turns, prompt, chosen, rejected, chosen_mask, rejected_mask)."""
     empty = F.lit("")
-    rows = turns.select("pair_id", F.coalesce("chosen", F.lit(False)).alias("side"), "turn", F.coalesce(F.col("role").cast("string"), empty).alias("role"), F.coalesce(F.col("text").cast("string"), empty).alias("text"))
+    last = F.lit(2**63 - 1)
+    rows = turns.where("pair_id is not null").select("pair_id", F.coalesce("chosen", F.lit(False)).alias("side"), F.coalesce(F.col("turn").cast("long"), last).alias("turn"), F.coalesce(F.col("role").cast("string"), empty).alias("role"), F.coalesce(F.col("text").cast("string"), empty).alias("text"))
     met = rows.groupBy("pair_id", "turn", "role", "text").agg(F.max("side").alias("in_chosen"), F.max(~F.col("side")).alias("in_rejected"))
     pairs = met.groupBy("pair_id").agg(
         F.min(F.when(~(F.col("in_chosen") & F.col("in_rejected")), F.col("turn"))).alias("cut"),
@@ -72,9 +74,9 @@ def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH met AS (
-  SELECT conv_id // 2 AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  SELECT conv_id // 2 AS pair_id, coalesce(turn, 9223372036854775807) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
          bool_or(conv_id % 2 = 0) AS in_c, bool_or(conv_id % 2 <> 0) AS in_r
-  FROM conversations GROUP BY 1, 2, 3, 4),
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1, 2, 3, 4),
 cuts AS (
   SELECT pair_id, min(turn) FILTER (WHERE NOT (in_c AND in_r)) AS cut, bool_or(in_c) AND bool_or(in_r) AS complete
   FROM met GROUP BY 1),

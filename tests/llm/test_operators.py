@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom.llm import decontaminate, embeddings, langid, packing, preferences, sharding, simhash, substrings, tokens, tokenstore, warc
-from pointloom.llm.common import Scratch, components
+from pointloom.llm.common import Scratch, components, shared_dir, spread_join
 from tests.llm import cases
 
 
@@ -150,6 +150,28 @@ def test_components(spark, edges):
     assert got == {x: ids[root[i]] for i, x in enumerate(ids) if root[i] != i}
 
 
+def test_components_raise_where_rounds_are_too_few(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").repartition(8)
+    with pytest.raises(RuntimeError):
+        components(links, Scratch(spark, "t"), rounds=2)
+
+
+def test_a_shared_folder_is_required_beyond_one_machine():
+    class Session:
+        conf = {}
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session)
+
+
+def test_spread_join(spark):
+    rows = spark.createDataFrame([(i % 7 if i < 5000 else 7 + i,) for i in range(6000)], "key long")
+    known = rows.groupBy("key").agg(F.count("*").alias("n")).withColumn("v", F.col("key") * 2)
+    got = spread_join(rows, known, "key", "n", 6000)
+    assert got.count() == 6000 and got.where("v <> key * 2").count() == 0
+
+
 @pytest.mark.parametrize("make", [cases.documents, cases.empty])
 def test_substrings(spark, make):
     docs = make(spark)
@@ -190,6 +212,27 @@ def test_decontamination(spark, make, block, monkeypatch):
     assert got == cases.contamination([(r["doc_id"], r["text"]) for r in docs.collect()], items)
 
 
+def test_decontamination_of_repetitive_text(spark):
+    import time
+
+    docs = [(1, "a " * 20_000), (2, "a b " * 6_000 + "c"), (3, "a " * 9), (4, "b a " * 30)]
+    items = [(1, "a " * 1_000), (2, "b a " * 500), (3, "a a a")]
+    index = decontaminate.Index(["1", "2", "3"], [t.encode() for _, t in items])
+    began = time.perf_counter()
+    data = docs[0][1].encode()
+    hashes, doc, _ = decontaminate.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    start, end, _, found = decontaminate.hits(index, hashes, doc)
+    assert time.perf_counter() - began < 5 and len(start) == 19_991 + 19_998 and found.tolist() == [2, 0]
+    got = {r["doc_id"]: (r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), r["items"]) for r in decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == cases.contamination(docs, items)
+
+
+def test_items_without_id_mark_words(spark):
+    docs = spark.createDataFrame([(1, "x lazy dog y"), (2, "none")], "doc_id long, text string")
+    got = {r["doc_id"]: (len(r["spans"]), r["items"]) for r in decontaminate.contamination(docs, spark.createDataFrame([(None, "lazy dog")], "item_id long, text string")).collect()}
+    assert got == {1: (1, []), 2: (0, [])}
+
+
 def test_decontamination_without_items(spark):
     got = decontaminate.contamination(cases.documents(spark), spark.createDataFrame([], "item_id long, text string"))
     assert got.where(F.size("items") > 0).count() == 0 and got.count() == len(cases.texts())
@@ -355,21 +398,53 @@ def test_embeddings(spark, block):
     assert all(got[i]["n_links"] <= links[i] for i in range(len(rows)))
 
 
-@pytest.mark.parametrize("k", [3, 4])
-def test_embeddings_recall_at_threshold(spark, k, monkeypatch):
-    """Pairs at cosine 0.9 with the k of larger tables, which n follows from."""
-    rng = np.random.default_rng(k)
-    x, y = rng.normal(size=(2, 1500, 64))
+def _pairs_at_threshold(n, seed, dim=64):
+    rng = np.random.default_rng(seed)
+    x, y = rng.normal(size=(2, n, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y -= (x * y).sum(1, keepdims=True) * x
-    y = (0.9 + 1e-9) * x + np.sqrt(1 - (0.9 + 1e-9) ** 2) * y / np.linalg.norm(y, axis=1, keepdims=True)
-    monkeypatch.setattr(embeddings, "round", lambda _: k, raising=False)
+    return x, (0.9 + 1e-9) * x + np.sqrt(1 - (0.9 + 1e-9) ** 2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("k", [3, 4])
+def test_embeddings_recall_at_threshold(spark, k):
+    """Pairs at cosine 0.9 with the k of larger tables, which n follows from."""
+    x, y = _pairs_at_threshold(1500, k)
     table = spark.createDataFrame(list(enumerate(np.concatenate([x, y]).tolist())), "vec_id long, embedding array<double>")
-    found = embeddings.near_vectors(table).where("vec_id < 1500 and n_links > 0").count()
-    print(k, found / 1500)
+    found = embeddings.near_vectors(table, k=k).where("vec_id < 1500 and n_links > 0").count()
     assert found >= 0.99 * 1500
 
 
+@pytest.mark.parametrize("k", [1, 2, 3, 4, 5, 6])
+def test_tables_hold_recall_for_every_k(k):
+    x, y = _pairs_at_threshold(1000, 40 + k)
+    t = embeddings.tables_for(k, 64, 0.9)
+    a, b = (embeddings.buckets(v, k, t).reshape(1000, -1) for v in (x, y))
+    met = np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)])
+    assert met >= 0.98
+
+
+def test_plan_follows_the_number_of_vectors():
+    found = [embeddings.plan(n, [64], 0.9)[0] for n in (10, 10**4, 10**6, 10**9)]
+    assert found == sorted(found) and found[-1] > found[0]
+
+
+def test_rotation_is_the_transform():
+    x = np.random.default_rng(0).normal(size=(5, 32))
+    assert np.allclose(x @ embeddings.rotation(32, 9), embeddings.turn(x, 9)) and np.allclose(np.linalg.norm(embeddings.turn(x, 9), axis=1), np.linalg.norm(x, axis=1))
+
+
+def test_embeddings_of_floats_in_one_hot_group(spark):
+    """A third of all rows equal, another third near each other: counted, not dropped."""
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=16)
+    rows = [[1.0] * 16] * 60 + (centre + rng.normal(size=(60, 16)) * 0.02).tolist() + rng.normal(size=(60, 16)).tolist() + [None, [], [0.0] * 16]
+    table = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>").repartition(4)
+    links, root = _brute_vectors([(i, v and np.array(v, np.float32).astype(float).tolist()) for i, v in enumerate(rows)])
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(table, block=16).collect()}
+    assert got == {i: (links[i], root[i]) for i in range(len(rows))}
+
+
 def test_embeddings_empty(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
@@ -389,6 +464,53 @@ def test_language_identification(spark):
     assert 0 < (model.weights == 0).mean() < 1
 
 
+def test_learner_equals_a_plain_one():
+    """Follow-the-regularised-leader a coordinate at a time, and the temperature from a scan of its own."""
+    rng = np.random.default_rng(4)
+    x, y = (rng.random((40, 7)) < 0.4) * rng.random((40, 7)), rng.integers(0, 3, 40)
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.05
+    z, n = [[0.0] * 3 for _ in range(7)], [[0.0] * 3 for _ in range(7)]
+    weight = lambda i, c: 0.0 if abs(z[i][c]) <= l1 else -(z[i][c] - np.sign(z[i][c]) * l1) / ((beta + n[i][c] ** 0.5) / alpha + l2)
+    order = np.random.default_rng(7)
+    for _ in range(langid.EPOCHS):
+        for s in order.permutation(40):
+            on = [i for i in range(7) if x[s, i]]
+            w = {(i, c): weight(i, c) for i in on for c in range(3)}
+            score = [sum(x[s, i] * w[i, c] for i in on) for c in range(3)]
+            total = sum(np.exp(v) for v in score)
+            for i in on:
+                for c in range(3):
+                    g = x[s, i] * (np.exp(score[c]) / total - (c == y[s]))
+                    z[i][c] += g - ((n[i][c] + g * g) ** 0.5 - n[i][c] ** 0.5) / alpha * w[i, c]
+                    n[i][c] += g * g
+    want = np.array([[weight(i, c) for c in range(3)] for i in range(7)])
+    got = langid.follow_leader(x, y, 3)
+    assert np.allclose(got, want)
+    loss = lambda t: -np.mean([np.log(np.exp((x[s] @ want)[y[s]] / t) / np.exp(x[s] @ want / t).sum()) for s in range(40)])
+    best = langid.calibrate(x @ want, y)
+    assert all(loss(best) <= loss(t) + 1e-9 for t in np.exp(np.linspace(np.log(0.05), np.log(20), 121)))
+
+
+def test_predictions_are_the_formula_and_copies_do_not_train(spark):
+    rows = [(0, "tra lo mi", "aa")] * 500 + [(i, f"tra lo mi sen {i}", "aa") for i in range(1, 30)] + [(i, f"kvo zum ich {i}", "bb") for i in range(30, 60)] + [(60, "rare", "cc"), (61, None, "aa"), (62, "x", None)]
+    docs = spark.createDataFrame([(*r, 1, "s") for r in rows], "doc_id long, text string, lang string, score long, lang_pred string")
+    model = langid.train(docs, 20)
+    assert model.languages == ["aa", "bb", "cc"] and langid.train(docs, 20, 2).languages == ["aa", "bb"]
+    got = langid.predictions(docs, model).collect()
+    assert len(got) == len(rows)
+    texts = {r[0]: r[1] for r in rows}
+    for r in got[:3] + got[-5:]:
+        text = texts[r["doc_id"]]
+        if text is None:
+            assert (r["lang_pred"], r["score"]) == ("und", 1.0)
+            continue
+        n = langid.counts(text)
+        x = np.log(1 + n) * model.idf
+        p = np.append(x / np.linalg.norm(x), 1.0) @ model.weights / model.temperature
+        p = np.exp(p) / np.exp(p).sum()
+        assert r["lang_pred"] == model.languages[int(p.argmax())] and r["score"] == pytest.approx(p.max(), rel=1e-5)
+
+
 def test_language_identification_without_labels(spark):
     docs = cases.documents(spark).withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in langid.predictions(docs, langid.train(docs)).collect()} == {"und"}
@@ -408,4 +530,8 @@ def test_preferences(spark):
     assert (got[2]["chosen"], got[2]["rejected"]) == ("", "<|assistant|>\nmore<|end|>\n")
     assert not got[3]["complete"] and got[3]["prompt"] == "" and got[3]["chosen"] == "<|assistant|>\n<|end|>\n"
     assert got[4]["chosen"] == got[4]["rejected"] == "" and got[4]["n_prompt_turns"] == 1
+    odd = [(5, True, 0, "user", "q"), (5, False, 0, "user", "q"), (5, True, None, "assistant", "end"), (6, True, None, "user", "a"), (6, False, None, "user", "a"), (None, True, 0, "user", "lost")]
+    got = {r["pair_id"]: r for r in preferences.preference_pairs(spark.createDataFrame(odd, "pair_id long, chosen boolean, turn int, role string, text string")).collect()}
+    assert got.keys() == {5, 6} and got[5]["prompt"] == "<|user|>\nq<|end|>\n" and got[5]["chosen"] == "<|assistant|>\nend<|end|>\n" and got[5]["rejected"] == ""
+    assert got[6]["prompt"] == "<|user|>\na<|end|>\n" and got[6]["chosen"] == ""
     assert preferences.preference_pairs(table.limit(0)).count() == 0
