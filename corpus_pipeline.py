@@ -23,9 +23,14 @@ TOKEN_CACHE = 100_000  # entries; the workers here have four other stages behind
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects text without letters and text in which no language stands out; fills in lang."""
+    """Rejects text without letters and text in which no language stands out; fills in lang.
+
+    Where no row is there to learn from (lang null throughout, or on held-out ids alone), all text with letters stays.
+    """
     model = train(docs.where(~held_out()))
     found = predictions(docs, model, keep=COLUMNS)
+    if not model.languages:  # text without letters is `und` with score 1, other text with score 0
+        return found.where("score = 0").select(*COLUMNS)
     kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
@@ -71,9 +76,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold ten words in a row of a benchmark item, or a shorter item whole."""
+    """Drops documents that hold ten words in a row of a benchmark item, or a shorter item whole, also of one without id."""
     found = contamination(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS)
-    return found.where(F.size("items") == 0).select(*COLUMNS)
+    return found.where(F.size("spans") == 0).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -89,7 +94,8 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: Fingerprints, trained models and token ids are beyond SQL; tests hold every stage against a brute-force version.
+#: Fingerprints, trained models and token ids are beyond SQL; tests/llm/test_pipeline.py holds every stage against a
+#: brute-force version.
 ORACLE_SQL = None
 
 
