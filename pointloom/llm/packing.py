@@ -6,9 +6,10 @@ that table: the largest length that is left opens a bin, a bitset of reachable s
 finds the fullest feasible combination, and the combination is removed, as often at once as the counts allow. Each such
 step exhausts a length, so the list of patterns is bounded by the capacity and not by the number of documents.
 
-Pieces find their places by rank within their length. The rank comes from two levels (the sizes of 64 parts of each
-length, summed up, and the number within a part), so a length with a third of all pieces is dealt over 64 groups. The
-pattern list, bounded as said, goes to the tasks, which search it with the rank.
+Pieces find their places by rank within their length. The rank comes from two levels: a task numbers its pieces of each
+length as it writes them, and the counts of each task and length, summed up, tell how many lie ahead. So pieces are
+neither sorted nor grouped, and a length with a third of all pieces gathers nowhere. The pattern list, bounded as said,
+goes to the tasks, which search it with the rank.
 
 Null text packs as empty: the end id alone. Repeated rows are packed each. Other columns of the input are ignored.
 """
@@ -23,11 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import Scratch, arrow_map, flat, table
+from pointloom.llm.common import Scratch, arrow_map, flat, release, table
 from pointloom.llm.tokens import default_vocabulary, word_ids
 
-PARTS = 64
-
 
 def fullest(counts: dict[int, int], order: list[int], room: int) -> dict[int, int]:
     """How many of each length make up the largest sum of at most `room`."""
@@ -85,24 +84,33 @@ def places(lengths: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
 
 
 def token_pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", kept: int | None = None) -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32, part)."""
-
-    def of(batch):
-        ids = word_ids(vocabulary, kept)
-        data, offsets = flat(batch.column(1))
-        raw, end, out = data.tobytes(), np.array([end_id], "<u4").tobytes(), []
-        for doc, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            found = ids.encode(raw[a:b]) + end
-            n = len(found) // 4
-            for piece, start in enumerate(range(0, n, capacity)):
-                own = found[4 * start : 4 * (start + capacity)]
-                out.append((doc, piece, start, len(own) // 4, zlib.crc32(own), len(out) % PARTS))
-        columns = zip(*out, strict=True)
-        kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part"])
-
+    """Rows (doc_id, piece, start, length, ids_crc32, part, number): number counts the pieces of a length within a partition."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return arrow_map(source, of, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part int", uses="tokens")
+
+    def of(batches):
+        from pyspark import TaskContext
+
+        part, seen, end = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), np.array([end_id], "<u4").tobytes()
+        release("tokens")
+        for batch in batches:
+            ids = word_ids(vocabulary, kept)
+            data, offsets = flat(batch.column(1))
+            raw, out = data.tobytes(), []
+            for doc, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                found = ids.encode(raw[a:b]) + end
+                n = len(found) // 4
+                for piece, start in enumerate(range(0, n, capacity)):
+                    own = found[4 * start : 4 * (start + capacity)]
+                    size = len(own) // 4
+                    out.append((doc, piece, start, size, zlib.crc32(own), part, int(seen[size])))
+                    seen[size] += 1
+            if out:
+                kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "number"])
+            del batch, data, raw
+            release("tokens")
+
+    return source.mapInArrow(of, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part int, number long")
 
 
 def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", kept: int | None = None) -> DataFrame:
@@ -112,13 +120,12 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, vocabulary: str
     """
     scratch = Scratch(docs.sparkSession, "packing")
     cut = scratch.table(token_pieces(docs, capacity, end_id, vocabulary or default_vocabulary(), id_col, text_col, kept), "pieces")
-    sizes = scratch.table(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "sizes")  # capacity x 64 rows at most
+    sizes = scratch.table(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "sizes")  # capacity rows a partition at most
     lengths = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     plan = places(lengths, capacity)
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("length", "part", F.coalesce(before, F.lit(0)).alias("ahead"))
-    number = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece")) - 1
-    ranked = cut.withColumn("number", number).join(starts, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("ahead") + F.col("number")).alias("rank"))
+    ranked = cut.join(starts, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("ahead") + F.col("number")).alias("rank"))
     shift = np.int64(1 << 48)
     keys = plan["length"] * shift + plan["rank"]
 
