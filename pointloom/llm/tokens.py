@@ -50,45 +50,43 @@ class WordIds:
             for part, found in zip(parts, self.library.encode_batch_fast(parts, add_special_tokens=False), strict=True):
                 self.parts[part] = np.array(found.ids, "<u4").tobytes()
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        split, new = [], []
+    def _learn(self, chunks: set[bytes]) -> None:
+        """Adds the ids of new chunks; texts and letter runs met before the last change of generation are taken over."""
+        old, known = self.old_chunks, self.chunks
+        split, new, parts, old_parts = [], [], self.parts, self.old_parts
         for chunk in chunks:
-            if (known := self.old_chunks.get(chunk)) is not None:
-                self.chunks[chunk] = known
-                split.append(None)
+            if (ids := old.get(chunk)) is not None:
+                known[chunk] = ids
                 continue
-            word = chunk.decode().lower() if chunk.isascii() else self.library.normalizer.normalize_str(chunk.decode("utf-8", "replace"))
-            split.append(found := PATTERN.findall(word))
+            if chunk.isalpha():  # ASCII letters alone
+                found = [chunk.decode().lower()]
+            else:
+                found = PATTERN.findall(chunk.decode().lower() if chunk.isascii() else self.library.normalizer.normalize_str(chunk.decode("utf-8", "replace")))
+            split.append((chunk, found))
             for p in found:
-                if p not in self.parts:
-                    if (known := self.old_parts.get(p)) is not None:
-                        self.parts[p] = known
+                if p not in parts:
+                    if (ids := old_parts.get(p)) is not None:
+                        parts[p] = ids
                     else:
                         new.append(p)
         new = list(dict.fromkeys(new))
         for lo in range(0, len(new), 1000):
             self._ask(new[lo : lo + 1000])
-        parts = self.parts
-        for chunk, found in zip(chunks, split, strict=True):
-            if found is not None:
-                self.chunks[chunk] = b"".join([parts[p] for p in found])
-        if len(self.chunks) > self.kept:
-            self.old_chunks, self.chunks = self.chunks, {}
-        if len(self.parts) > self.kept:
-            self.old_parts, self.parts = self.parts, {}
+        for chunk, found in split:
+            known[chunk] = parts[found[0]] if len(found) == 1 else b"".join([parts[p] for p in found])
 
     def encode(self, text: bytes) -> bytes:
         words = text.split()
         out = []
         for lo in range(0, len(words), self.kept // 4):
             part = words[lo : lo + self.kept // 4]
-            known = self.chunks
-            try:
-                out.append(b"".join([known[w] for w in part]))
-            except KeyError:
-                self._learn(list({w for w in part if w not in known}))
-                known = self.chunks if len(self.chunks) else self.old_chunks
-                out.append(b"".join([known[w] if w in known else self.old_chunks[w] for w in part]))
+            if len(self.chunks) > self.kept:
+                self.old_chunks, self.chunks = self.chunks, {}
+            if len(self.parts) > self.kept:
+                self.old_parts, self.parts = self.parts, {}
+            if new := set(part).difference(self.chunks):
+                self._learn(new)
+            out.append(b"".join(map(self.chunks.__getitem__, part)))
         return b"".join(out)
 
 
