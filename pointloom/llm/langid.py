@@ -2,10 +2,10 @@
 
 Texts are lower-cased; runs of one, two and three characters are hashed to 4096 features. Document frequencies count
 every labelled document. The weights are trained on a bounded sample, `PER_LANGUAGE` different texts of each language
-(those of the smallest hashes, so neither order nor copies decide) and of the `LANGUAGES` most frequent values of lang at
-most, ties by name; a rarer value is not learnt. They are trained with follow-the-regularised-leader and elastic-net penalties (L1 makes the weights
-sparse, L2 keeps them small), one document at a time, by a fixed order. A fifth of the sample does not train; on it the
-temperature that the scores are divided by is chosen, so that the score of a prediction is close to its accuracy.
+(those of the smallest hashes, so neither order nor copies decide), of the `LANGUAGES` values of lang with most texts,
+ties by name; a rarer value is not learnt. Follow-the-regularised-leader takes one document at a time, by a fixed order,
+with elastic-net penalties (L1 makes the weights sparse, L2 keeps them small). A fifth of the sample does not train; on
+it the temperature that the scores are divided by is chosen, so that the score of a prediction is close to its accuracy.
 
 Prediction and document frequencies are single passes over the whole texts without shuffles; a task holds a table of a
 fixed size. Text that is null or has no letter is `und` with score 1. Without any labelled document everything is `und`
@@ -118,16 +118,19 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, most: int = LAN
     """Learns from columns (text, lang), both not null."""
     labelled = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     keyed = labelled.withColumn("key", F.xxhash64("text"))
-    frequent = keyed.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
-    languages = sorted(r["lang"] for r in frequent.select("lang").collect())
+    different = keyed.select("lang", "key").distinct()
+    of_lang = {r["lang"]: r["n"] for r in different.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
+    languages = sorted(of_lang)
     if not languages:
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES + 1, 0)), 1.0)
     frequency, n = document_frequencies(labelled.select("text"))
     idf = np.log((1 + n) / (1 + frequency)) + 1
-    # per_language different texts of `most` languages at most, found by hashes alone; then one copy of each
-    named = labelled.sparkSession.createDataFrame([(x,) for x in languages], "lang string")
+    # per_language different texts of `most` languages at most, found by hashes alone; then one copy of each. Hashes under
+    # a bound that leaves about four times as many are ranked, so a language's rows gather nowhere
+    bounds = [(lang, -(2**63) + min(2**64 - 1, 2**64 * 4 * per_language // of_lang[lang])) for lang in languages]
+    under = different.join(F.broadcast(labelled.sparkSession.createDataFrame(bounds, "lang string, top long")), "lang").where("key <= top")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    sample = keyed.select("lang", "key").distinct().join(F.broadcast(named), "lang").withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "key")
+    sample = under.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "key")
     chosen = keyed.join(F.broadcast(sample), ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text"))
 
     def features(batch):
