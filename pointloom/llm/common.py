@@ -27,6 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Scratch:
     """Written tables under the shared folder; they cut lineage and survive lost executors.
 
@@ -34,6 +37,9 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, what: str):
+        # whole texts come in Arrow batches: where the session has Spark's default, fewer rows a batch
+        if spark.conf.get(ROWS_A_BATCH) == "10000":
+            spark.conf.set(ROWS_A_BATCH, "2000")
         self.spark, self.base = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
         path, fs = self._fs(self.base)
         fs.mkdirs(path)
@@ -158,35 +164,49 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _stars(batches):
-    """Replaces the links of each bounded batch by the stars of their components."""
+    """Replaces the links of a partition, a bounded number at a time, by the stars of their components."""
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    held, n = [], 0
+
+    def contracted():
+        m, r = roots(*(np.concatenate([x.column(i).to_numpy() for x in held]) for i in range(2)))
+        return pa.RecordBatch.from_arrays([pa.array(m), pa.array(r)], schema=kind)
+
     for batch in batches:
-        if batch.num_rows:
-            m, r = roots(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(r)], schema=kind)
+        held.append(batch)
+        n += batch.num_rows
+        if n > 1 << 20:
+            yield contracted()
+            held, n = [], 0
+    if n:
+        yield contracted()
 
 
-HUBS = 1000  # keys that may stand for over a thousandth of all rows each: fewer than this
+HUBS, LEAST = 1000, 100_000
 
 
-def spread_join(rows: DataFrame, known: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, known: DataFrame, key: str, weight: str, total: int, least: int = LEAST) -> DataFrame:
     """rows joined with `known`, which has a row a key and in column `weight` the number of rows that carry it.
 
-    A key of over a HUBS-th of `total` rows would gather them in one task. There are fewer than HUBS such keys, whatever
-    the size of the input, so their rows of `known` are broadcast and `rows` stay where they are.
+    A key of over a HUBS-th of `total` rows (and over `least`, which one task takes easily) would gather them in one
+    task. There are fewer than HUBS such keys, whatever the size of the input, so where there are any, their rows of
+    `known` are broadcast and `rows` stay where they are.
     """
-    bound = max(total // HUBS, 1)
+    bound = max(total // HUBS, least)
+    if total <= bound or known.where(F.col(weight) > bound).isEmpty():
+        return rows.join(known.drop(weight), key)
     heavy, light = known.where(F.col(weight) > bound).drop(weight), known.where(F.col(weight) <= bound).drop(weight)
-    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, how)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
     return rows.join(F.broadcast(heavy), key).unionByName(rest)
 
 
-def components(links: DataFrame, scratch: Scratch, name: str = "cc", rounds: int = 200) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, name: str = "cc", rounds: int = 200, least: int = LEAST) -> DataFrame:
     """Connected components of links (a, b): rows (node, root), root the smallest node; nodes equal to their root are left out.
 
     Alternates large-star and small-star steps (each contracts every neighbourhood onto its smallest node) until the
-    set of links stays as it is; each round is a written table. Memory is bounded by Spark's joins: nothing is collected,
-    and the neighbourhoods of hubs are not gathered (see spread_join). Raises where `rounds` do not reach the end.
+    set of links stays as it is; each round is a written table, and its partitions contract what they hold first.
+    Memory is bounded by Spark's joins: nothing is collected, and the neighbourhoods of hubs are not gathered (see
+    spread_join). Raises where `rounds` do not reach the end.
     """
     now = links.selectExpr("greatest(a, b) a", "least(a, b) b").where("a <> b").mapInArrow(_stars, "a long, b long").distinct()
     now = scratch.table(now, f"{name}-0")
@@ -197,11 +217,11 @@ def components(links: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
             return now.selectExpr("a node", "b root")
         both = now.unionByName(now.selectExpr("b a", "a b"))
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).selectExpr("a", "least(a, m) m", "n")
-        large = spread_join(both.where("b > a"), low, "a", "n", seen["n"]).selectExpr("b a", "m b").where("a <> b").distinct()
+        large = spread_join(both.where("b > a"), low, "a", "n", seen["n"], least).selectExpr("b a", "m b").where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        joined = spread_join(large, low, "a", "n", seen["n"])
+        joined = spread_join(large, low, "a", "n", seen["n"], least)
         small = joined.selectExpr("a", "m b").unionByName(joined.where("b <> m").selectExpr("b a", "m b")).distinct()
-        now = scratch.table(small, f"{name}-{i}")
+        now = scratch.table(small.mapInArrow(_stars, "a long, b long").distinct(), f"{name}-{i}")
         scratch.drop(f"{name}-{i - 1}")
         before, seen = seen, now.selectExpr(*mark).first()
         if before == seen:

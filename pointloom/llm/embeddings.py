@@ -303,7 +303,7 @@ def near_vectors(vectors: DataFrame, at_least: float = 0.9, id_col: str = "vec_i
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("many"))
     known = scratch.table(spread_join(named, lowest, "root", "many", n).select("digest", "copies", "n_links", "component_id"), "known")
     ids = every.select("id", "digest")
-    out = spread_join(ids.where("digest is not null"), known, "digest", "copies", total).unionByName(ids.where("digest is null"), allowMissingColumns=True)
+    out = spread_join(ids.where("digest is not null"), known, "digest", "copies", int(total)).unionByName(ids.where("digest is null"), allowMissingColumns=True)
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
 
 

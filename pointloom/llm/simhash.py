@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import Parts, Scratch, arrow_map, components, flat, mix, table
+from pointloom.llm.common import Parts, Scratch, arrow_map, components, flat, mix, spread_join, table
 
 SEED = 42
 SEGMENTS = 16
@@ -145,15 +145,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
     fps = scratch.table(fingerprints(docs, id_col, text_col, words), "fps")
-    distinct = scratch.table(fps.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
+    distinct = scratch.table(fps.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "distinct")
     links = scratch.table(fingerprint_links(distinct.select("fp"), radius), "links")
     star = components(links, scratch)
     # the component of a fingerprint is named by its smallest member fingerprint; its smallest id follows from that
-    named = distinct.join(star.withColumnRenamed("node", "fp"), "fp", "left").selectExpr("fp", "first", "coalesce(root, fp) root")
-    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = scratch.table(named.join(lowest, "root").select("fp", "component_id"), "known")
+    named = distinct.join(star.withColumnRenamed("node", "fp"), "fp", "left").selectExpr("fp", "first", "copies", "coalesce(root, fp) root")
+    total, n = (int(x or 0) for x in distinct.agg(F.sum("copies"), F.count("*")).first())
+    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("many"))
+    known = scratch.table(spread_join(named, lowest, "root", "many", n).select("fp", "copies", "component_id"), "known")
     scratch.keep("fps", "known")
-    return fps.join(known, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+    return spread_join(fps, known, "fp", "copies", total).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 HASHES, BANDS = 256, 32
@@ -299,7 +300,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, at_least: float = 0.8,
         yield pa.RecordBatch.from_arrays([pa.array(rid), ids, pa.array(digest, pa.binary()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["rid", "id", "digest", "fp", "keys"])
 
     rows = scratch.table(parts.map(prints, "rid long, id long, digest binary, fp long, keys array<long>", columns), "prints")
-    classes = scratch.table(rows.groupBy("digest").agg(F.min(F.struct("id", "rid")).alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")).select("digest", F.col("first.rid").alias("node"), "fp", "keys"), "classes")
+    classes = scratch.table(rows.groupBy("digest").agg(F.min(F.struct("id", "rid")).alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count("*").alias("copies")).select("digest", F.col("first.rid").alias("node"), "fp", "keys", "copies"), "classes")
     banded = classes.select("node", F.explode("keys").alias("key"))
     bands = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"same{i}") for i in range(2)])
     # of bands that hold the same classes, one
@@ -346,8 +347,9 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, at_least: float = 0.8,
     rest = rooted.join(several, "key").unionByName(of_fp.join(one.unionByName(two), "fp").select("key", "node", "root")).distinct()
     more = scratch.table(crowd_links(rest, held, at_least, scratch), "more")
     star = components(star.selectExpr("node a", "root b").unionByName(more), scratch)
-    roots_of = classes.select("digest", "node").join(star, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-    grouped = rows.select("rid", "id", "digest").join(roots_of, "digest").select("rid", "id", "root")
+    roots_of = scratch.table(classes.select("digest", "node", "copies").join(star, "node", "left").select("digest", "copies", F.coalesce("root", "node").alias("root")), "roots")
+    total = int(roots_of.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0])
+    grouped = spread_join(rows.select("rid", "id", "digest"), roots_of, "digest", "copies", total).select("rid", "id", "root")
     stay = grouped.groupBy("root").agg(F.min(F.struct("id", "rid")).alias("first")).select(F.col("first.rid").alias("rid"))
     kept = parts.deliver(stay, "kept")
     scratch.keep(parts.name, "kept")

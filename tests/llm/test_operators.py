@@ -142,7 +142,9 @@ def test_joined_sets():
 
 @pytest.mark.parametrize("edges", [[], [(1, 2), (2, 3), (7, 5)], [(i, i + 1) for i in range(60)] + [(100, 1000 + i) for i in range(50)]])
 def test_components(spark, edges):
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(3), Scratch(spark, "t")).collect()}
+    links = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    got = {r["node"]: r["root"] for r in components(links, Scratch(spark, "t")).collect()}
+    assert got == {r["node"]: r["root"] for r in components(links, Scratch(spark, "t"), least=10).collect()}
     ids = sorted({x for e in edges for x in e})
     at = {x: i for i, x in enumerate(ids)}
     links = {(at[a], at[b]) for a, b in edges} | {(at[b], at[a]) for a, b in edges}
@@ -153,7 +155,7 @@ def test_components(spark, edges):
 def test_components_raise_where_rounds_are_too_few(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").repartition(8)
     with pytest.raises(RuntimeError):
-        components(links, Scratch(spark, "t"), rounds=2)
+        components(links, Scratch(spark, "t"), rounds=1)
 
 
 def test_a_shared_folder_is_required_beyond_one_machine():
@@ -168,8 +170,9 @@ def test_a_shared_folder_is_required_beyond_one_machine():
 def test_spread_join(spark):
     rows = spark.createDataFrame([(i % 7 if i < 5000 else 7 + i,) for i in range(6000)], "key long")
     known = rows.groupBy("key").agg(F.count("*").alias("n")).withColumn("v", F.col("key") * 2)
-    got = spread_join(rows, known, "key", "n", 6000)
-    assert got.count() == 6000 and got.where("v <> key * 2").count() == 0
+    for least in (100, 100_000):
+        got = spread_join(rows, known, "key", "n", 6000, least)
+        assert got.count() == 6000 and got.where("v <> key * 2").count() == 0
 
 
 @pytest.mark.parametrize("make", [cases.documents, cases.empty])
