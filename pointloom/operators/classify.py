@@ -12,16 +12,20 @@ from pointloom.functions.vectors import dot, sums, with_unit
 CLASS_LIMIT = 10_000
 
 
+def small(table: DataFrame, what: str, most: int = CLASS_LIMIT) -> DataFrame:
+    """The table itself, if it has `most` rows at most, so that it may be broadcast; raises where it has more."""
+    if table.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} {what}")
+    return table
+
+
 def argmax_class(rows: DataFrame, classes: DataFrame, keys: Sequence[str], vector: str = "z", cls: str = "cls") -> DataFrame:
     """(keys, pred, sim): the class with the highest dot product, ties to the lowest; keys must be unique.
 
     The class table becomes one row with an array of all classes, so each row is scored in place, without a join per
     class or a window; its size is checked.
     """
-    n = classes.limit(CLASS_LIMIT + 1).count()
-    if n > CLASS_LIMIT:
-        raise ValueError(f"more than {CLASS_LIMIT} classes")
-    packed = classes.agg(F.array_sort(F.collect_list(F.struct(F.col(cls).alias("c"), F.col("emb").alias("e")))).alias("__classes"))
+    packed = small(classes, "classes").agg(F.array_sort(F.collect_list(F.struct(F.col(cls).alias("c"), F.col("emb").alias("e")))).alias("__classes"))
     scored = rows.join(F.broadcast(packed)).withColumn("__s", F.transform("__classes", lambda k: F.struct(dot(F.col(vector), k["e"]).alias("s"), (-k["c"]).alias("c"))))
     best = F.array_max("__s")
     return scored.withColumn("__b", best).select(*keys, (-F.col("__b.c")).alias("pred"), F.col("__b.s").alias("sim"))
@@ -29,7 +33,7 @@ def argmax_class(rows: DataFrame, classes: DataFrame, keys: Sequence[str], vecto
 
 def remap(pred: DataFrame, table: DataFrame, idx: str = "idx", cls: str = "cls") -> DataFrame:
     """Detail predictions to evaluation classes; the table has a row a detail class."""
-    return pred.join(F.broadcast(table.select(F.col(idx).alias("pred"), F.col(cls).alias("__cls")).limit(CLASS_LIMIT)), "pred").drop("pred").withColumnRenamed("__cls", "pred")
+    return pred.join(F.broadcast(small(table, "detail classes").select(F.col(idx).alias("pred"), F.col(cls).alias("__cls"))), "pred").drop("pred").withColumnRenamed("__cls", "pred")
 
 
 def prompt_ensemble(prompts: DataFrame, dim: int, keys: Sequence[str] = ("cls",)) -> DataFrame:
@@ -40,7 +44,7 @@ def prompt_ensemble(prompts: DataFrame, dim: int, keys: Sequence[str] = ("cls",)
 
 def fill_template(names: DataFrame, templates: DataFrame) -> DataFrame:
     """Every template with every name put for {}; both tables are small."""
-    return names.join(F.broadcast(templates)).withColumn("prompt", F.replace("template", F.lit("{}"), F.col("name")))
+    return names.join(F.broadcast(small(templates, "templates"))).withColumn("prompt", F.replace("template", F.lit("{}"), F.col("name")))
 
 
 def legend(rows: DataFrame, cls: str = "gt", k: int = 12, ignore: int = 255) -> DataFrame:

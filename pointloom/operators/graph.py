@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.functions.curves import ORDERS, cell, with_cells, with_code
+from pointloom.functions.curves import ORDERS, cell, coded, with_cells, with_code
 from pointloom.plans.storage import stored
 
 
@@ -29,49 +32,114 @@ def curve_codes(points: DataFrame, voxel: float, shift: float, order: str, keys:
     return with_code(with_cells(points.select(*keys, "pid", "x", "y", "z"), voxel, shift, keys), order, "code").select(*keys, "pid", "x", "y", "z", "code")
 
 
-def curve_pairs(points: DataFrame, voxel: float, window: int, keys: Sequence[str] = ("scene",), shifts: Sequence[float] = (0.0, 0.5), slab_rows: int = 200_000) -> DataFrame:
+def _runs(batch: pa.RecordBatch | pa.Table, n: int) -> np.ndarray:
+    """First rows of the runs of one scene and curve, which are the first n columns."""
+    new = np.ones(batch.num_rows, bool)
+    new[1:] = False
+    for column in batch.columns[:n]:
+        new[1:] |= pc.fill_null(pc.not_equal(column[1:], column[:-1]), True).to_numpy(zero_copy_only=False) if batch.num_rows > 1 else False
+    return np.flatnonzero(new)
+
+
+def curve_pairs(points: DataFrame, voxel: float, window: int, keys: Sequence[str] = ("scene",), shifts: Sequence[float] = (0.0, 0.5), slab_rows: int = 1_000_000, max_dist: float | None = None) -> DataFrame:
     """Points that follow each other within `window` places on one of eight curves: (keys, curve, i, j, d2).
 
-    A scene's curve is cut into slabs of code ranges so that a scene is not one task: a slab's rows are numbered within
-    it, and the first `window` rows of the next slabs are repeated behind it. Slab bounds are approximate quantiles of
-    the codes of all scenes together, one list a curve, and their number follows the number of points.
+    All codes come from one pass. Rows are dealt by ranges of (scene, curve, code, point) into slabs of about
+    `slab_rows`, so neither a scene nor a curve is one task, and each slab walks its sorted rows. Pairs across slabs
+    come from the `window` rows at either end of each slab alone. `max_dist` drops farther pairs where they are made.
     """
-    n = points.count()
-    slabs = max(1, -(-n // slab_rows))
-    parts = []
-    for c, (order, shift) in enumerate([(o, s) for o in ORDERS for s in shifts]):
-        coded = curve_codes(points, voxel, shift, order, keys)
-        if slabs == 1:
-            w = Window.partitionBy(*keys).orderBy("code", "pid")
-            ahead = [F.struct(*[F.lead(v, s).over(w).alias(v) for v in ("pid", "x", "y", "z")]) for s in range(1, window + 1)]
-        else:
-            coded = stored(coded)  # read four times below
-            bounds = sorted(set(coded.approxQuantile("code", [i / slabs for i in range(1, slabs)], 0.01)))
-            slab = reduce(lambda acc, b: acc + (F.col("code") > b).cast("int"), bounds, F.lit(0))
-            coded = coded.withColumn("slab", slab)
-            tail = Window.partitionBy(*keys, "slab").orderBy("code", "pid")
-            heads = coded.withColumn("at", F.row_number().over(tail)).where(F.col("at") <= window)
-            # the first rows of a slab follow every earlier slab that has fewer than `window` rows between
-            sizes = coded.groupBy(*keys, "slab").count()
-            before = sizes.alias("a").join(sizes.alias("b"), [*keys]).where("b.slab > a.slab").groupBy(*keys, F.col("a.slab").alias("own"), F.col("b.slab").alias("slab")).agg(F.lit(1).alias("one"))
-            gap = Window.partitionBy(*keys, "own").orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)
-            reach = before.join(sizes, [*keys, "slab"]).withColumn("skipped", F.coalesce(F.sum("count").over(gap), F.lit(0))).where(F.col("skipped") < window)
-            guests = heads.join(reach.select(*keys, "slab", "own"), [*keys, "slab"]).select(*[c2 for c2 in coded.columns if c2 != "slab"], F.col("own").alias("slab"), F.lit(True).alias("guest"))
-            coded = coded.withColumn("guest", F.lit(False)).unionByName(guests)
-            w = Window.partitionBy(*keys, "slab").orderBy("code", "pid")
-            ahead = [F.struct(*[F.lead(v, s).over(w).alias(v) for v in ("pid", "x", "y", "z")]) for s in range(1, window + 1)]
-        near = coded.withColumn("next", F.array(*ahead))
-        if slabs > 1:
-            near = near.where(~F.col("guest"))
-        near = near.withColumn("o", F.explode("next")).where("o.pid is not null")
-        d2 = (F.col("x") - F.col("o.x")) ** 2 + (F.col("y") - F.col("o.y")) ** 2 + (F.col("z") - F.col("o.z")) ** 2
-        parts.append(near.select(*keys, F.lit(c).alias("curve"), F.least("pid", "o.pid").alias("i"), F.greatest("pid", "o.pid").alias("j"), d2.alias("d2")))
-    return reduce(DataFrame.unionByName, parts)
+    slabs = max(1, -(-points.count() * len(ORDERS) * len(shifts) // slab_rows))
+    place, n = [*keys, "curve"], len(keys) + 1
+    rows = coded(points, voxel, shifts, ORDERS, keys)
+    order = [*place, "code", "pid"]
+    rows = stored((rows.repartitionByRange(slabs, *order) if slabs > 1 else rows.coalesce(1)).sortWithinPartitions(*order))
+    most = float("inf") if max_dist is None else max_dist**2
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in place)
+    kind = rows.schema["pid"].dataType.simpleString()
+
+    def near(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        return sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+
+    def within(batches):
+        held = None
+        for batch in batches:
+            both = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            old = both.num_rows - batch.num_rows
+            run = np.zeros(both.num_rows, np.int64)
+            run[_runs(both, n)] = 1
+            run = np.cumsum(run)
+            pid, at = both.column("pid").to_numpy(), [both.column(c).to_numpy() for c in "xyz"]
+            first, i_out, j_out, d_out = [], [], [], []
+            for s in range(1, window + 1):
+                a = np.arange(max(0, old - s), both.num_rows - s)
+                a = a[run[a] == run[a + s]]
+                d2 = near([v[a] for v in at], [v[a + s] for v in at])
+                a, d2 = a[d2 <= most], d2[d2 <= most]
+                first.append(a)
+                i_out.append(np.minimum(pid[a], pid[a + s]))
+                j_out.append(np.maximum(pid[a], pid[a + s]))
+                d_out.append(d2)
+            own = both.select(place).take(pa.array(np.concatenate(first))).combine_chunks()
+            columns = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in own.columns]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.concatenate(v)) for v in (i_out, j_out, d_out))], names=[*place, "i", "j", "d2"])
+            held = both.slice(max(0, both.num_rows - window))
+
+    found = rows.mapInArrow(within, f"{kinds}, i {kind}, j {kind}, d2 double")
+    if slabs == 1:
+        return found
+
+    def ends(batches):
+        """Rows at the ends of this slab's first and last run: (place, slab, size of the run, number within it, point)."""
+        from pyspark import TaskContext
+
+        slab = TaskContext.get().partitionId()
+        head = tail = None
+        size, first = 0, True
+
+        def out():
+            at = np.concatenate([np.arange(min(size, window)), np.arange(max(window, size - window), size)])
+            kept = pa.concat_tables([head, tail.slice(tail.num_rows - max(0, len(at) - head.num_rows))])
+            fixed = [pa.array(np.full(len(at), v)) for v in (slab, size)]
+            whole = kept.combine_chunks()
+            return pa.RecordBatch.from_arrays([*(c.chunk(0) for c in whole.columns[:n]), *fixed, pa.array(at), *(c.chunk(0) for c in whole.columns[n + 1 :])], names=[*place, "slab", "size", "at", "pid", "x", "y", "z"])
+
+        for batch in batches:
+            batch = pa.Table.from_batches([batch])
+            if not batch.num_rows:
+                continue
+            cut = _runs(batch, n)
+            if head is not None and all(head.column(c)[0].as_py() == batch.column(c)[0].as_py() for c in place):
+                cut = cut[1:]
+            for a, b in zip([0, *cut[cut > 0].tolist()], [*cut[cut > 0].tolist(), batch.num_rows], strict=True):
+                part = batch.slice(a, b - a)
+                if head is None or a in cut:
+                    if head is not None and first:
+                        yield out()
+                        first = False
+                    head, tail, size = part.slice(0, 0), part.slice(0, 0), 0
+                take = max(0, window - head.num_rows)
+                head = pa.concat_tables([head, part.slice(0, take)])
+                tail = pa.concat_tables([tail, part.slice(take)])
+                tail = tail.slice(max(0, tail.num_rows - window))
+                size += part.num_rows
+        if head is not None:
+            yield out()
+
+    edge = stored(rows.mapInArrow(ends, f"{kinds}, slab long, size long, at long, pid {kind}, x double, y double, z double"))
+    sizes = edge.select(*place, "slab", "size").distinct()
+    before = F.coalesce(F.sum("size").over(Window.partitionBy(*place).orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = edge.join(sizes.select(*place, "slab", before.alias("before")), [*place, "slab"]).withColumn("rank", F.col("before") + F.col("at"))
+    w = Window.partitionBy(*place).orderBy("rank")
+    ahead = [F.struct(*[F.lead(v, s).over(w).alias(v) for v in ("slab", "rank", "pid", "x", "y", "z")]) for s in range(1, window + 1)]
+    met = ranked.withColumn("next", F.array(*ahead)).withColumn("o", F.explode("next")).where(f"o.slab <> slab and o.rank <= rank + {window}")
+    d2 = sum((F.col(c) - F.col(f"o.{c}")) ** 2 for c in "xyz")
+    across = met.select(*place, F.least("pid", "o.pid").alias("i"), F.greatest("pid", "o.pid").alias("j"), d2.alias("d2")).where(F.col("d2") <= most)
+    return found.unionByName(across)
 
 
 def curve_votes(points: DataFrame, voxel: float, window: int, min_votes: int, max_dist: float, keys: Sequence[str] = ("scene",)) -> DataFrame:
     """Pairs with enough votes that lie close: (keys, i, j, votes, d2)."""
-    near = curve_pairs(points, voxel, window, keys).where(F.col("d2") <= max_dist**2)
+    near = curve_pairs(points, voxel, window, keys, max_dist=max_dist)
     return near.groupBy(*keys, "i", "j").agg(F.count("*").alias("votes"), F.min("d2").alias("d2")).where(F.col("votes") >= min_votes)
 
 
@@ -81,45 +149,37 @@ def curve_knn(points: DataFrame, voxel: float, k: int = 8, window: int = 8, min_
     return top_k(both, k, [F.desc("votes"), "d2", "j"], keys) if k > 0 else both
 
 
-def grid_knn(points: DataFrame, k: int, radius: float, keys: Sequence[str] = ("scene",)) -> DataFrame:
-    """Up to k nearest others within a radius: points meet in the 27 cells around their own; (keys, i, j, d2)."""
+def grid_knn(points: DataFrame, k: int, radius: float, keys: Sequence[str] = ("scene",), asked: DataFrame | None = None) -> DataFrame:
+    """Up to k nearest others within a radius: points (or those of `asked`) meet in the 27 cells around their own; (keys, i, j, d2)."""
     cells = [cell(F.col(c), radius).alias(f"c{c}") for c in "xyz"]
     home = points.select(*keys, F.col("pid").alias("j"), *[F.col(c).alias(f"{c}2") for c in "xyz"], *cells)
     step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    asked = points.select(*keys, F.col("pid").alias("i"), "x", "y", "z", *cells)
+    own = (points if asked is None else asked).select(*keys, F.col("pid").alias("i"), "x", "y", "z", *cells)
     for c in "xyz":
-        asked = asked.withColumn("__s", F.explode(step)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("__s")).drop("__s")
+        own = own.withColumn("__s", F.explode(step)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("__s")).drop("__s")
     d2 = (F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2 + (F.col("z") - F.col("z2")) ** 2
-    met = asked.join(home, [*keys, "cx", "cy", "cz"]).where("i <> j").withColumn("d2", d2).where(F.col("d2") <= radius**2)
+    met = own.join(home, [*keys, "cx", "cy", "cz"]).where("i <> j").withColumn("d2", d2).where(F.col("d2") <= radius**2)
     return top_k(met.select(*keys, "i", "j", "d2"), k, ["d2", "j"], keys)
 
 
-def exact_knn(points: DataFrame, k: int, radius: float, keys: Sequence[str] = ("scene",)) -> DataFrame:
-    """k nearest others of every point: the radius doubles for the points that have fewer than k within it."""
+def exact_knn(points: DataFrame, k: int, radius: float, keys: Sequence[str] = ("scene",), rounds: int = 64) -> DataFrame:
+    """k nearest others of every point: the radius doubles for the points that have fewer than k within it.
+
+    Each round is stored, so none is computed twice; raises where `rounds` doublings do not reach k neighbours.
+    """
+    points = stored(points.select(*keys, "pid", "x", "y", "z"))
     size = points.groupBy(*keys).count().select(*keys, F.least(F.col("count") - 1, F.lit(k)).alias("__want"))
     done, open_ = [], points
-    for _ in range(64):
-        found = _ask(open_, points, k, radius, keys)
+    for _ in range(rounds):
+        found = stored(grid_knn(points, k, radius, keys, open_))
         counts = open_.select(*keys, F.col("pid").alias("i")).join(found.groupBy(*keys, "i").count(), [*keys, "i"], "left").join(size, list(keys))
-        short = counts.where(F.coalesce("count", F.lit(0)) < F.col("__want")).select(*keys, F.col("i").alias("pid"))
+        short = stored(counts.where(F.coalesce("count", F.lit(0)) < F.col("__want")).select(*keys, F.col("i").alias("pid")))
+        if short.isEmpty():
+            return reduce(DataFrame.unionByName, [*done, found])
         done.append(found.join(short.withColumnRenamed("pid", "i"), [*keys, "i"], "left_anti"))
         open_ = points.join(short, [*keys, "pid"], "left_semi")
-        if open_.isEmpty():
-            break
         radius *= 2
-    return reduce(DataFrame.unionByName, done)
-
-
-def _ask(asked: DataFrame, points: DataFrame, k: int, radius: float, keys: Sequence[str]) -> DataFrame:
-    cells = [cell(F.col(c), radius).alias(f"c{c}") for c in "xyz"]
-    home = points.select(*keys, F.col("pid").alias("j"), *[F.col(c).alias(f"{c}2") for c in "xyz"], *cells)
-    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    own = asked.select(*keys, F.col("pid").alias("i"), "x", "y", "z", *cells)
-    for c in "xyz":
-        own = own.withColumn("__s", F.explode(step)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("__s")).drop("__s")
-    d2 = (F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2 + (F.col("z") - F.col("z2")) ** 2
-    met = own.join(home, [*keys, "cx", "cy", "cz"]).where("i <> j").withColumn("d2", d2).where(F.col("d2") <= radius**2)
-    return top_k(met.select(*keys, "i", "j", "d2"), k, ["d2", "j"], keys)
+    raise RuntimeError(f"points without {k} neighbours after {rounds} doublings")
 
 
 def voxel_adjacency(voxels: DataFrame, keys: Sequence[str] = ("scene",)) -> DataFrame:

@@ -50,8 +50,11 @@ def draws_table(spark: SparkSession, scenes: Sequence[int], mult: np.ndarray) ->
 
 
 def resampled(tables: DataFrame, draws: DataFrame, a: str, b: str) -> DataFrame:
-    """(b, delta): mIoU of method `b` minus that of `a` in every draw; tables has (scene, method, gt, pred, n)."""
-    drawn = tables.join(F.broadcast(draws), "scene").groupBy("b", "method", "gt", "pred").agg(F.sum(F.col("n") * F.col("mult")).alias("n"))
+    """(b, delta): mIoU of method `b` minus that of `a` in every draw; tables has (scene, method, gt, pred, n).
+
+    Draws grow with the number of scenes, so whether they are broadcast is left to Spark, which knows their size.
+    """
+    drawn = tables.join(draws, "scene").groupBy("b", "method", "gt", "pred").agg(F.sum(F.col("n") * F.col("mult")).alias("n"))
     each = scores(drawn, ["b", "method"])
     pick = lambda m: F.max(F.when(F.col("method") == m, F.col("miou")))
     return each.groupBy("b").agg((pick(b) - pick(a)).alias("delta"))
@@ -69,7 +72,7 @@ def shape_iou(points: DataFrame, parts: DataFrame) -> DataFrame:
     """
     per = points.select("shape_id", "category", F.explode(F.array(F.struct(F.col("part").alias("p"), F.lit(1).alias("g"), F.lit(0).alias("q")), F.struct(F.col("pred").alias("p"), F.lit(0).alias("g"), F.lit(1).alias("q")))).alias("e"), (F.col("part") == F.col("pred")).cast("int").alias("hit"))
     counts = per.groupBy("shape_id", "category", F.col("e.p").alias("part")).agg(F.sum(F.col("hit") * F.col("e.g")).alias("tp"), F.sum("e.g").alias("g"), F.sum("e.q").alias("q"))
-    every = points.select("shape_id", "category").distinct().join(F.broadcast(parts), "category")
+    every = points.select("shape_id", "category").distinct().join(parts, "category")
     got = every.join(counts, ["shape_id", "category", "part"], "left").withColumn("u", F.coalesce(F.col("g") + F.col("q") - F.col("tp"), F.lit(0)))
     return got.withColumn("iou", F.when(F.col("u") == 0, 1.0).otherwise(F.col("tp") / F.col("u"))).groupBy("shape_id", "category").agg(F.avg("iou").alias("iou"))
 
