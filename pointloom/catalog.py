@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from pointloom import oracles
 from pointloom.functions import colour, curves, vectors
-from pointloom.operators import attention, classify, graph, merge, metrics, segment, shape, supervoxel
+from pointloom.operators import attention, classify, geometry, graph, merge, metrics, projection, segment, shape, supervoxel
 from pointloom.plans import evaluate
+from pointloom.plans.storage import stored
 from pointloom.sources import export, scenes, text
 from pointloom.sources.fixtures import DIM, big_features, big_points, classes, detail_classes, features, table, vec_points
 
@@ -23,8 +24,9 @@ def query(f: Query) -> Query:
     return f
 
 
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+def rounded(df: DataFrame, *columns: str, to: int = 6) -> DataFrame:
+    """Rounded, with no negative zero."""
+    return df.withColumns({c: F.round(c, to) + 0.0 for c in columns})
 
 
 @query
@@ -145,7 +147,33 @@ _found |= {f"merge_round{r}": _merged(r) for r in (1, 2, 3)}
 @query
 def merged_metrics(spark, sf):
     """Merging with normals in play, then pooling per merged region and scores."""
-    return rounded(evaluate.refined_scores(vec_points(spark, sf), _bounds(spark, sf), classes(spark, sf), DIM, 10, 0.2, 0.3), "miou", "macc", "oa")
+    return rounded(evaluate.refined_scores(vec_points(spark, sf), _bounds(spark, sf), classes(spark, sf), DIM, 10, 0.2, 0.3, 6), "miou", "macc", "oa")
+
+
+@query
+def merged_regions(spark, sf):
+    return merge.hier_merge(merge.base_regions(vec_points(spark, sf), DIM), _bounds(spark, sf), DIM, 6, 0.2, 0.3)
+
+
+@query
+def scene_run(spark, sf):
+    """A run at chosen thresholds: scores of three methods and numbers of regions, a scene at a time."""
+    points = vec_points(spark, sf)
+    return rounded(evaluate.scene_run(points, graph.grid_knn(points, 8, 0.2), classes(spark, sf), DIM, 10, 0.2, 0.3, 6), "miou", "macc", "oa")
+
+
+@query
+def refined_metrics(spark, sf):
+    """The whole refinement with attention and recovery, scored a point."""
+    points = _with_fpfh(spark, sf)
+    return rounded(evaluate.refined_point_scores(points, graph.grid_knn(points, 8, 0.2), classes(spark, sf), DIM, 10, th_f=0.2, th_n=0.3, rounds=6, gamma0=0.5, alpha_min=0.5, intra=True), "miou", "macc", "oa")
+
+
+@query
+def vocabulary_probe(spark, sf):
+    detail = detail_classes(spark, sf)
+    got = evaluate.vocabulary_probe(vec_points(spark, sf), {"plain": (classes(spark, sf), None), "detail": (detail, detail)}, DIM, 10)
+    return rounded(got, "miou", "macc", "oa")
 
 
 @query
@@ -167,13 +195,32 @@ def neighbour_cov(spark, sf):
 
 @query
 def region_normals(spark, sf):
-    return segment.region_normals(vec_points(spark, sf), ["scene", "seg"])
+    return rounded(segment.region_normals(vec_points(spark, sf), ["scene", "seg"]), "nx", "ny", "nz", to=5)
 
 
 @query
 def point_normals(spark, sf):
     points = vec_points(spark, sf)
-    return segment.point_normals(graph.grid_knn(points, 8, 0.2), points)
+    return rounded(segment.point_normals(graph.grid_knn(points, 8, 0.2), points), "nx", "ny", "nz", to=4)
+
+
+@query
+def knn_normals(spark, sf):
+    """Of each point and its nineteen nearest."""
+    return rounded(geometry.knn_normals(vec_points(spark, sf), 20, 0.2), "nx", "ny", "nz", to=4)
+
+
+def _with_fpfh(spark, sf) -> DataFrame:
+    """The geometry pre-pass, stored: everything after reads it several times."""
+    points = vec_points(spark, sf)
+    return stored(points.join(geometry.fpfh(graph.grid_knn(points, 30, 0.3), points), ["scene", "pid"]))
+
+
+@query
+def fpfh(spark, sf):
+    points = vec_points(spark, sf)
+    found = geometry.fpfh(graph.grid_knn(points, 30, 0.3), points)
+    return found.select("scene", "pid", F.posexplode("fpfh").alias("bin", "v")).withColumn("v", F.round("v", 6))
 
 
 @query
@@ -217,7 +264,7 @@ _found |= {"bootstrap_delta": _resampled(0), "split_half": _resampled(1)}
 
 @query
 def bootstrap_summary(spark, sf):
-    return metrics.summary(_resampled(0)(spark, sf))
+    return rounded(metrics.summary(_resampled(0)(spark, sf)), "mean", "sd", "lo", "hi", "p_above", to=5)
 
 
 def _shapes(spark, sf) -> DataFrame:
@@ -254,45 +301,53 @@ def topk_prototype(spark, sf):
 def mixture_moments(spark, sf):
     g = vec_points(spark, sf).select(F.col("scene").alias("shape_id"), "pid", "feat", F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)])).alias("k"))
     g = g.withColumn("gamma", ((F.col("pid") * (F.col("k") + 1)) % 13 + 1) / 13)
-    return shape.mixture_moments(g, DIM).select("shape_id", "k", F.round("pi", 6).alias("pi"), F.round(F.col("mu")[0], 6).alias("mu0"))
+    return shape.mixture_moments(g, DIM).select("shape_id", "k", F.round("pi", 6).alias("pi"), F.round(F.col("mu")[0], 6).alias("mu0"), F.round(F.col("sigma")[0], 6).alias("sigma0"))
 
 
 def _as_shapes(spark, sf) -> DataFrame:
     return vec_points(spark, sf).withColumnRenamed("scene", "shape_id")
 
 
+def _nodes(points: DataFrame, size: float) -> DataFrame:
+    """The first point of every voxel."""
+    first = segment.voxel_first(points, size, ("shape_id",)).select("shape_id", "pid")
+    return points.join(first, ["shape_id", "pid"], "left_semi")
+
+
 @query
 def idw_interp(spark, sf):
     points = _as_shapes(spark, sf)
-    return shape.interpolate(points, points.where("pid % 5 = 0"), DIM).select("shape_id", "pid", F.round(F.col("feat")[0], 6).alias("f0"))
+    return shape.interpolate(points, _nodes(points, 0.25), DIM).select("shape_id", "pid", F.round(F.col("feat")[0], 6).alias("f0"))
 
 
 @query
 def ball_query(spark, sf):
     points = _as_shapes(spark, sf)
-    return shape.ball_query(points.where("pid % 5 = 0"), points, 0.25, 6)
+    return shape.ball_query(points, points, 0.25, 6)
 
 
 @query
 def patch_groups(spark, sf):
     points = _as_shapes(spark, sf)
-    return shape.patches(points.where("pid % 25 = 0"), points, 12)
+    return rounded(shape.patches(_nodes(points, 0.25), points, 12), "x", "y", "z")
 
 
 @query
 def hist_distance(spark, sf):
-    h = features(spark, sf).select(F.col("fid").alias("pid"), F.transform(F.slice("feat", 1, 8), F.abs).alias("h"))
-    to = h.select((F.col("pid")).alias("to"), F.col("h").alias("h2"))
-    met = h.withColumn("to", F.col("pid") % 50).join(to, "to")
-    return met.select("pid", F.round(vectors.histogram_distance(F.col("h"), F.col("h2")), 6).alias("dist"))
+    """How far each vector, as a histogram, is from its region's mean one."""
+    h = vec_points(spark, sf).select("scene", "seg", "pid", F.transform("feat", F.abs).alias("h"), F.lit(1.0).alias("w"))
+    mean = segment.segment_mean(h, ["scene", "seg"], DIM, "h", "w", "mean").select("scene", "seg", "mean")
+    return h.join(mean, ["scene", "seg"]).select("pid", F.round(vectors.histogram_distance(F.col("h"), F.col("mean")), 6).alias("dist"))
 
 
 @query
 def angles(spark, sf):
-    p = vec_points(spark, sf).select("pid", "nx", "ny", "nz")
-    q = p.select(F.col("pid").alias("to"), F.col("nx").alias("mx"), F.col("ny").alias("my"), F.col("nz").alias("mz"))
-    cosine = F.col("nx") * F.col("mx") + F.col("ny") * F.col("my") + F.col("nz") * F.col("mz")
-    return p.withColumn("to", F.col("pid") % 50).join(q, "to").select("pid", F.round(vectors.angle(cosine), 6).alias("angle"))
+    """Between the normals of neighbours."""
+    points = vec_points(spark, sf)
+    end = lambda c, s: points.select("scene", F.col("pid").alias(c), *[F.col(f"n{a}").alias(f"{s}{a}") for a in "xyz"])
+    met = graph.grid_knn(points, 8, 0.2).join(end("i", "p"), ["scene", "i"]).join(end("j", "q"), ["scene", "j"])
+    cosine = sum(F.col(f"p{a}") * F.col(f"q{a}") for a in "xyz")
+    return met.select("scene", "i", "j", F.round(vectors.angle(cosine), 6).alias("angle"))
 
 
 @query
@@ -349,32 +404,35 @@ def clean_text(spark, sf):
 
 @query
 def structural_confidence(spark, sf):
-    return attention.structural_confidence(vec_points(spark, sf))
+    return rounded(attention.structural_confidence(_with_fpfh(spark, sf)), "q", to=5)
 
 
 def _attended(spark, sf) -> DataFrame:
-    points = vec_points(spark, sf)
+    points = _with_fpfh(spark, sf)
     own = ["scene", "seg"]
-    regions = segment.pooled(points, own, DIM).select(*own, "z")
-    regions = regions.join(segment.region_normals(points, own).drop("n"), own).join(points.groupBy(*own).agg(*[F.avg(c).alias(f"a{c}") for c in "xyz"]), own)
-    return attention.inter_attention(regions, graph.degree_cap(_bounds(spark, sf)), DIM).join(regions.select(*own, "z"), own)
+    regions = stored(attention.region_model(points).join(segment.pooled(points, own, DIM).select(*own, "z"), own))
+    found = attention.inter_attention(regions, stored(graph.degree_cap(_bounds(spark, sf))), DIM)
+    return stored(found.join(regions.select(*own, "z"), own))
 
 
 @query
 def inter_attention(spark, sf):
-    return _attended(spark, sf).select("scene", "seg", "z2", "gate")
+    got = _attended(spark, sf)
+    return got.select("scene", "seg", F.round(F.col("z2")[0], 5).alias("z0"), F.round(F.col("z2")[63], 5).alias("z63"), F.round("gate", 5).alias("gate"))
 
 
 @query
 def recovered_points(spark, sf):
-    points = vec_points(spark, sf)
+    points = _with_fpfh(spark, sf)
     q = attention.structural_confidence(points).select("scene", "pid", "q")
-    return attention.recover(points.join(q, ["scene", "pid"]), _attended(spark, sf), 0.5)
+    got = attention.recover(points.join(q, ["scene", "pid"]), _attended(spark, sf), 0.5)
+    return got.select("scene", "pid", F.round(F.col("out")[0], 5).alias("o0"), F.round(F.col("out")[63], 5).alias("o63"))
 
 
 @query
 def intra_consensus(spark, sf):
-    return attention.intra_consensus(vec_points(spark, sf))
+    got = attention.intra_consensus(vec_points(spark, sf))
+    return got.select("scene", "seg", F.round(F.col("z")[0], 5).alias("z0"), F.round(F.col("z")[63], 5).alias("z63"), F.round("eta", 5).alias("eta")).withColumns({c: F.col(c) + 0.0 for c in ("z0", "z63", "eta")})
 
 
 @query
@@ -384,18 +442,69 @@ def fps_seeds(spark, sf):
 
 @query
 def refined_shapes(spark, sf):
-    points = _as_shapes(spark, sf).withColumn("fpfh", F.transform(F.slice("feat", 10, 33), F.abs))
+    points = _as_shapes(spark, sf)
+    points = points.join(geometry.fpfh(graph.grid_knn(points, 30, 0.3, ("shape_id",)), points, ("shape_id",)), ["shape_id", "pid"])
     return shape.refine_shapes(points, DIM, 16, 12)
 
 
+@query
+def image_cells(spark, sf):
+    """Pixels, layers and depths of all points in ten views."""
+    return rounded(projection.image_cells(projection.viewed(_as_shapes(spark, sf))), "zz", to=5)
+
+
+@query
+def visibility(spark, sf):
+    return projection.project(_as_shapes(spark, sf), projection.Grid(resolution=64, depth=32))
+
+
+@query
+def density_clusters(spark, sf):
+    got = shape.density_clusters(_as_shapes(spark, sf), 0.8, 4)
+    return got.select("shape_id", "k", "size")
+
+
+@query
+def principal_colours(spark, sf):
+    return rounded(shape.principal_colours(vec_points(spark, sf), DIM), "r", "g", "b", to=4)
+
+
+@query
+def class_colours(spark, sf):
+    return big_points(spark, sf).select("gt").distinct().withColumn("colour", colour.class_colour(F.col("gt"), [(20 * i, 255 - 20 * i, 7 * i) for i in range(8)]))
+
+
+@query
+def rich_scene_pick(spark, sf):
+    """Scenes with nine classes or more, by gain: those at a sixth, the middle and near the end."""
+    gains = big_points(spark, sf).groupBy(F.col("seg").alias("scene")).agg(F.avg("x").alias("gain"), F.count_distinct(F.when(F.col("gt").between(0, 9), F.col("gt"))).alias("n_classes"))
+    return classify.pick_by_rank(classify.rich_scenes(gains), "gain", ["scene"]).select("scene", F.col("pick").cast("int").alias("pick"))
+
+
+@query
+def clean_html(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.basic_clean(F.col("html")).alias("text"))
+
+
 @query
 def vccs_labels(spark, sf):
     return supervoxel.vccs(vec_points(spark, sf), supervoxel.Params(voxel=0.05, seed=0.25))
 
 
+@query
+def grid_seeds(spark, sf):
+    return supervoxel.grid_seeds(segment.voxel_mean(vec_points(spark, sf), 0.05), 0.25)
+
+
+@query
+def seed_size(spark, sf):
+    return rounded(supervoxel.curve_seeds(segment.voxel_mean(vec_points(spark, sf), 0.05), 20, 0.05)[1], "size")
+
+
 @query
 def normal_variance(spark, sf):
-    return supervoxel.normal_variance(segment.voxel_mean(vec_points(spark, sf), 0.1))
+    got = supervoxel.normal_variance(segment.voxel_mean(vec_points(spark, sf), 0.1))
+    return got.withColumn("var", F.when(F.col("var") < 1e9, F.round("var", 6)))
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,3 +33,14 @@ def rgb_to_lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]
 def region_colour(region: Column) -> Column:
     """Six hex digits from the region's number, far apart for neighbours (Knuth's multiplier)."""
     return F.lower(F.lpad(F.hex(F.pmod(region.cast("long") * F.lit(2654435761).cast("long"), F.lit(16777216).cast("long"))), 6, "0"))
+
+
+def class_colour(cls: Column, palette: Sequence[Sequence[int]], other: int = 60) -> Column:
+    """Six hex digits of a class in a palette of (r, g, b); grey where the class is outside it or null."""
+    table = F.array(*[F.lit("%02x%02x%02x" % tuple(c)) for c in palette])
+    return F.when(cls.between(0, len(palette) - 1), F.get(table, cls.cast("int"))).otherwise("%02x%02x%02x" % (other, other, other))
+
+
+def fading(d2: Column, radius: float, kind: str = "linear") -> Column:
+    """Opacity of a point at squared distance d2 from a pixel: linear or exponential."""
+    return 1 - d2 / radius**2 if kind == "linear" else F.exp(-d2 / radius**2)

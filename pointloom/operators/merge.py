@@ -98,7 +98,8 @@ def hier_merge(regions: DataFrame, region_edges: DataFrame, dim: int, rounds: in
     many = regions.groupBy(*keys).count().where(F.col("count") > scene_regions).select(*keys)
     if many.isEmpty():
         return _by_scene(regions, region_edges, rounds, th_f, th_n, keys)
-    small, large = (tuple(d.join(many, keys, how) for d in (regions, region_edges)) for how in ("left_anti", "left_semi"))
+    part = lambda d, how: d.join(many, keys, how).select(*[F.col(c).alias(c) for c in d.columns])
+    small, large = (tuple(part(d, how) for d in (regions, region_edges)) for how in ("left_anti", "left_semi"))
     return _by_scene(*small, rounds, th_f, th_n, keys).unionByName(_by_rounds(*large, dim, rounds, th_f, th_n, keys, cut))
 
 

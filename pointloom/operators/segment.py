@@ -104,7 +104,10 @@ def covariances(edges: DataFrame, points: DataFrame, keys: Sequence[str] = ("sce
 
 
 def eigenvector(largest: bool) -> Column:
-    """Unit eigenvector (struct x, y, z) of the symmetric matrix cxx..czz, of the largest or smallest value; Arrow batches."""
+    """Unit eigenvector (struct x, y, z) of the symmetric matrix cxx..czz, of the largest or smallest value; Arrow batches.
+
+    Its sign is such that the component of the largest size is positive.
+    """
 
     @F.pandas_udf("x double, y double, z double")
     def of(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
@@ -112,6 +115,8 @@ def eigenvector(largest: bool) -> Column:
             xx, xy, xz, yy, yz, zz = (np.nan_to_num(s.to_numpy(np.float64)) for s in six)
             matrix = np.stack([xx, xy, xz, xy, yy, yz, xz, yz, zz], axis=1).reshape(-1, 3, 3)
             found = np.linalg.eigh(matrix)[1][:, :, 2 if largest else 0]
+            lead = np.take_along_axis(found, np.abs(found).argmax(1)[:, None], 1)
+            found = found * np.where(lead < 0, -1.0, 1.0)
             yield pd.DataFrame(found, columns=["x", "y", "z"])
 
     return of(*[F.col(f"c{a}{b}") for a, b in PAIRS])

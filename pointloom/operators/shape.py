@@ -5,6 +5,7 @@ A shape has a few thousand points by definition, so kernels see one shape as an
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -12,8 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.functions.vectors import EPS, sums, with_unit
+from pointloom.functions.curves import cell
+from pointloom.functions.vectors import EPS, dot, sums, with_unit
+from pointloom.operators.classify import small
 from pointloom.operators.graph import top_k
+from pointloom.operators.metrics import shape_iou
+from pointloom.operators.segment import summed
 
 
 def distances(a: DataFrame, b: DataFrame, key: str = "shape_id", left: str = "i", right: str = "j") -> DataFrame:
@@ -30,19 +35,29 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, key: str = "shape_id") -> D
 
 
 def ball_query(queries: DataFrame, refs: DataFrame, radius: float, n: int, key: str = "shape_id") -> DataFrame:
-    """(key, i, slot, j): the first n references by id within a radius; missing places repeat the first."""
-    found = top_k(distances(queries, refs, key).where(F.col("d2") <= radius**2), n, ["j"], [key])
+    """(key, i, slot, j): the first n references by id within a radius; missing places repeat the first.
+
+    Queries meet the references of the 27 cells around their own, so no pairs beyond twice the radius are made.
+    """
+    cells = [cell(F.col(c), radius).alias(f"c{c}") for c in "xyz"]
+    home = refs.select(key, F.col("pid").alias("j"), *[F.col(c).alias(f"{c}2") for c in "xyz"], *cells)
+    asked = queries.select(key, F.col("pid").alias("i"), "x", "y", "z", *cells)
+    for c in "xyz":
+        asked = asked.withColumn("__s", F.explode(F.array(*[F.lit(o) for o in (-1, 0, 1)]))).withColumn(f"c{c}", F.col(f"c{c}") + F.col("__s")).drop("__s")
+    d2 = sum((F.col(c) - F.col(f"{c}2")) ** 2 for c in "xyz")
+    found = top_k(asked.join(home, [key, "cx", "cy", "cz"]).where(d2 <= radius**2).select(key, "i", "j"), n, ["j"], [key])
     got = found.groupBy(key, "i").agg(F.array_sort(F.collect_list("j")).alias("js"))
     padded = F.concat("js", F.array_repeat(F.element_at("js", 1), F.lit(n) - F.size("js")))
     return got.select(key, "i", F.posexplode(padded).alias("slot", "j"))
 
 
 def patches(nodes: DataFrame, refs: DataFrame, k: int, key: str = "shape_id") -> DataFrame:
-    """(key, i, slot, j, x, y, z): members of each node's patch, the node's own centroid appended last."""
+    """(key, i, slot, j, x, y, z): members of each node's patch, nearest first, and as slot k the shape's centre, with j -1."""
     near = knn(nodes, refs, k, key)
     ranked = near.withColumn("slot", F.row_number().over(Window.partitionBy(key, "i").orderBy("d2", "j")) - 1)
     members = ranked.join(refs.select(key, F.col("pid").alias("j"), "x", "y", "z"), [key, "j"]).select(key, "i", "slot", "j", "x", "y", "z")
-    own = nodes.select(key, F.col("pid").alias("i"), F.lit(k).alias("slot"), F.lit(-1).cast("long").alias("j"), "x", "y", "z")
+    centre = refs.groupBy(key).agg(*[F.avg(c).alias(c) for c in "xyz"])
+    own = nodes.select(key, F.col("pid").alias("i"), F.lit(k).alias("slot"), F.lit(-1).cast("long").alias("j")).join(centre, key)
     return members.unionByName(own)
 
 
@@ -54,14 +69,19 @@ def view_mean(seen: DataFrame, dim: int, views: int = 10) -> DataFrame:
 def back_project(view_points: DataFrame, view_features: DataFrame, weights: DataFrame) -> DataFrame:
     """Feature of the pixel that each visible point falls on, with its view's weight (a row a category and view)."""
     met = view_points.join(view_features, ["shape_id", "view", "yy", "xx"])
-    return met.join(F.broadcast(weights), ["category", "view"])
+    return met.join(F.broadcast(small(weights, "view weights")), ["category", "view"])
 
 
 def mixture_moments(gamma: DataFrame, dim: int, vector: str = "feat") -> DataFrame:
-    """(shape_id, k, pi, mu) of soft assignments (shape_id, pid, k, gamma, feat)."""
+    """(shape_id, k, pi, mu, sigma) of soft assignments (shape_id, pid, k, gamma, feat): share, mean and variance a component."""
     n = gamma.groupBy("shape_id").agg(F.countDistinct("pid").alias("n"))
-    got = gamma.groupBy("shape_id", "k").agg(F.sum("gamma").alias("g"), sums(vector, dim, F.col("gamma")).alias("s")).join(n, "shape_id")
-    return got.select("shape_id", "k", (F.col("g") / F.col("n")).alias("pi"), F.transform("s", lambda x: x / (F.col("g") + 1e-5)).alias("mu"))
+    own = ["shape_id", "k"]
+    first = summed(gamma, own, vector, dim, "gamma", "s").withColumnRenamed("w", "g").drop("n")
+    mu = first.join(n, "shape_id").select(*own, (F.col("g") / F.col("n")).alias("pi"), "g", F.transform("s", lambda x: x / (F.col("g") + 1e-5)).alias("mu"))
+    # about the mean, not from sums of squares, which would cancel
+    off = gamma.join(mu.select(*own, "mu"), own).withColumn("__off", F.zip_with(vector, "mu", lambda x, m: (x - m) * (x - m)))
+    second = summed(off, own, "__off", dim, "gamma", "s").select(*own, "s")
+    return mu.join(second, own).select(*own, "pi", "mu", F.transform("s", lambda x: x / (F.col("g") + 1e-5)).alias("sigma"))
 
 
 def topk_prototypes(gamma: DataFrame, k_top: int, dim: int, vector: str = "feat") -> DataFrame:
@@ -176,81 +196,289 @@ def gap(kind: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return euclid(unit_rows(a), unit_rows(b)) if kind == "cos" else euclid(a, b)
 
 
-def connected_clustering(xyz: np.ndarray, centres: np.ndarray, sets: list[tuple[np.ndarray, str, float]], iters: int = 30) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Soft assignment of points to fixed centres by transport costs of several feature sets, kept near and likely."""
+def norm_mean(kind: str, mu: np.ndarray) -> np.ndarray:
+    """Cluster means as their distance wants them: of length one for angles and chords."""
+    return unit_rows(mu) if kind in ("ang", "cos") else mu
+
+
+def norm_cost(cost: np.ndarray) -> np.ndarray:
+    """A cost matrix over its range."""
+    return cost / max(cost.max() - cost.min(), 1e-3)
+
+
+def connected_clustering(xyz: np.ndarray, centres: np.ndarray, sets: list[tuple[np.ndarray, np.ndarray, str, float]], iters: int = 30) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Soft assignment of points to fixed centres by transport costs of several feature sets: (the last plan, means of each set).
+
+    sets: (features, first means, distance, weight). What is near a centre and likely there moves the means; a cluster
+    with nothing near has the zero mean.
+    """
     n, k = len(xyz), len(centres)
     far = euclid(xyz, centres)
     eps = np.sort(far, axis=1)[:, min(1, k - 1)].mean()
-    near = np.argmin(far, axis=0)
-    means = [x[near].copy() for x, _, _ in sets]
-    gamma = np.zeros((n, k))
+    means = [np.asarray(m, np.float64) for _, m, _, _ in sets]
+    near = far < (np.sqrt(5) - 1) / 2 * eps
+    gamma = np.ones((n, k))
     for _ in range(iters):
-        cost = np.mean([w * gap(kind, x, m) for (x, kind, w), m in zip(sets, means, strict=True)] + [np.sqrt(1 / 3) / max(eps, EPS) * far], axis=0)
+        cost = np.mean([w * gap(kind, x, m) for (x, _, kind, w), m in zip(sets, means, strict=True)] + [np.sqrt(1 / 3) / max(eps, 1e-4) * far], axis=0)
         gamma = sinkhorn_plan(cost, iters=10)
-        gamma = gamma * ((far < (np.sqrt(5) - 1) / 2 * eps) & (gamma * n * k > 1))
-        gamma = gamma / np.maximum(gamma.sum(1, keepdims=True), 1e-3)
-        mass = gamma.sum(0)[:, None]
-        means = [np.where(mass > 0, gamma.T @ x / np.maximum(mass, 1e-5), m) for (x, _, _), m in zip(sets, means, strict=True)]
+        kept = gamma * (near & (gamma * n * k > 1))
+        kept = kept / np.maximum(kept.sum(1, keepdims=True), 1e-3)
+        means = [norm_mean(kind, kept.T @ x / (kept.sum(0)[:, None] + 1e-5)) for x, _, kind, _ in sets]
     return gamma, means
 
 
-def attend(points: np.ndarray, nodes: np.ndarray, f: np.ndarray, z: np.ndarray, temperature: float = 0.1) -> np.ndarray:
-    """Features of points from superpoints: transport by distance times row and column softmax of similarity."""
-    s = unit_rows(f) @ unit_rows(z).T / np.sqrt(f.shape[1]) / temperature
-    row = np.exp(s - log_sum(s, 1)[:, None])
-    col = np.exp(s - log_sum(s, 0)[None, :])
-    a = sinkhorn_plan(euclid(points, nodes), epsilon=0.05) * row * col
-    a = a / np.maximum(a.sum(1, keepdims=True), 1e-12)
-    return (a @ z + f) / 2
+def prototypes(x: np.ndarray, likeness: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means of each cluster's `top` strongest rows, weighted by how strong they are, and the clusters' relative mass."""
+    pick = np.argsort(-likeness, axis=0, kind="stable")[:top].T
+    w = np.take_along_axis(likeness.T, pick, 1)
+    w = w / np.maximum(w.sum(1, keepdims=True), 1e-4)
+    mass = w.sum(1)
+    return (w[:, :, None] * x[pick]).sum(1), mass / max(mass.mean(), 1e-4)
 
 
-def global_attend(h: np.ndarray, z: np.ndarray, iters: int = 5) -> np.ndarray:
-    """Superpoints attend to each other by geometry and feature, each log-normalised, and add what they see."""
-    geo = np.exp(sinkhorn_normalise(-euclid(h, h) / 0.01, iters))
-    sim = np.clip(unit_rows(z) @ unit_rows(z).T, 0.01, 0.9)
-    np.fill_diagonal(sim, 1.0)
-    a = geo * np.exp(sinkhorn_normalise(sim / 0.1, iters))
-    return z + a / np.maximum(a.sum(1, keepdims=True), 1e-12) @ z
+def nearest_member(xyz: np.ndarray, nodes: np.ndarray, members: np.ndarray, feats: np.ndarray) -> np.ndarray:
+    """Each point takes the feature of the member nearest to it of the patch whose node is nearest; members: (nodes, patch, 3)."""
+    own = euclid(xyz, nodes).argmin(1)
+    at = ((members[own] - xyz[:, None]) ** 2).sum(2).argmin(1)
+    return feats[own, at]
 
 
-def local_attend(node_patch: np.ndarray, patch: np.ndarray, feats: np.ndarray) -> np.ndarray:
-    """A node's feature from its patch, weighted by the transport between the node's row and the members'."""
-    plan = sinkhorn_plan(euclid(node_patch[None], patch), epsilon=0.05)[0]
-    return plan @ feats / max(plan.sum(), 1e-12)
+def local_attend(nodes: np.ndarray, xyz: np.ndarray, node_hist: np.ndarray, hist: np.ndarray, f: np.ndarray, patch: int = 48) -> np.ndarray:
+    """Features of all points, averaged with what their patch attends to.
+
+    A patch is the points nearest to a node in position and histogram, each scaled by the root of its size. In it two
+    transport plans of the members with themselves, of features (masses one over all points) and of histograms, are
+    multiplied. Each point takes the result of the member nearest to it in the patch of its nearest node.
+    """
+    wide = f.shape[1]
+    scaled = lambda x, h: np.hstack([x / np.sqrt(3), h / np.sqrt(h.shape[1])])
+    near = np.argsort(euclid(scaled(nodes, node_hist), scaled(xyz, hist)), axis=1, kind="stable")[:, :patch]
+    mass = np.full(near.shape[1], 1 / len(xyz))
+    out = np.zeros((*near.shape, wide))
+    for i, own in enumerate(near):
+        a = sinkhorn_plan(euclid(f[own], f[own]) / np.sqrt(wide), mass, mass)
+        a = a * sinkhorn_plan(euclid(hist[own] / np.sqrt(hist.shape[1]), hist[own] / np.sqrt(hist.shape[1])) / np.sqrt(wide))
+        out[i] = a / np.maximum(a.sum(1, keepdims=True), 1e-300) @ f[own]
+    return (f + nearest_member(xyz, nodes, xyz[near], out)) / 2
+
+
+def global_attend(hist: np.ndarray, z: np.ndarray, iters: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Superpoints attend to each other by histogram and feature, and add what they see: (features, histograms)."""
+    n = len(z)
+    geo = np.maximum(unit_rows(hist) @ unit_rows(hist).T, 0.001)
+    sim = np.clip(unit_rows(z) @ unit_rows(z).T, 0.01, 0.9) * (1 - np.eye(n)) + 1 / (n * n + 1e-6)
+    a = np.exp(sinkhorn_normalise(geo / 0.01, iters)) * np.exp(sinkhorn_normalise(sim / 0.1, iters))
+    a = a / np.maximum(a.sum(1, keepdims=True), 1e-300)
+    return a @ z + z, a @ hist + hist
+
+
+def attend(nodes: np.ndarray, xyz: np.ndarray, z: np.ndarray, f: np.ndarray, node_hist: np.ndarray, hist: np.ndarray, mode: str = "df", top: int = 0, temperature: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Features and histograms of points, averaged with what they take from superpoints.
+
+    Modes: `dg` transport by distance and by histogram; `df` transport by distance with row and column softmax of
+    features; `gf` histograms and features, each log-normalised. With `top` a point's strongest superpoints alone count.
+    """
+    if mode not in ("dg", "df", "gf"):
+        raise ValueError(f"unknown mode {mode!r}")
+    s = f @ z.T / np.sqrt(z.shape[1])
+    if mode == "gf":
+        a = np.exp(sinkhorn_normalise(hist @ node_hist.T / np.sqrt(hist.shape[1]), slack=True)) * np.exp(sinkhorn_normalise(s, slack=True))
+    else:
+        a = sinkhorn_plan(euclid(xyz, nodes))
+        if mode == "dg":
+            a = a * sinkhorn_plan(euclid(hist, node_hist) / np.sqrt(hist.shape[1]))
+        else:
+            s = s / temperature
+            a = a * np.exp(s - log_sum(s, 1)[:, None]) * np.exp(s - log_sum(s, 0)[None, :])
+    a = a / np.maximum(a.sum(1, keepdims=True), 1e-300)
+    mixed = [prototypes(x, a.T, top)[0] if top else a @ x for x in (z, node_hist)]
+    return (mixed[0] + f) / 2, (mixed[1] + hist) / 2
+
+
+def spread(xyz: np.ndarray, nodes: np.ndarray, nrm: np.ndarray, node_nrm: np.ndarray, f: np.ndarray, z: np.ndarray, k: int = 8) -> np.ndarray:
+    """Nodes' features interpolated to points and fused with their own: half the larger and half the mean of both.
+
+    Distances add a sigmoid of how far normals are apart; the k nearest nodes weigh by one over distance.
+    """
+    if len(nodes) == 1:
+        mixed = np.repeat(z, len(xyz), axis=0)
+    else:
+        d = euclid(xyz, nodes) + 1 / (1 + np.exp(-euclid(nrm, node_nrm)))
+        pick = np.argsort(d, axis=1, kind="stable")[:, :k]
+        w = 1 / (np.take_along_axis(d, pick, 1) + EPS)
+        mixed = (w[:, :, None] / w.sum(1)[:, None, None] * z[pick]).sum(1)
+    return (np.maximum(f, mixed) + (f + mixed) / 2) / 2
+
+
+def refined(xyz: np.ndarray, nrm: np.ndarray, hist: np.ndarray, f: np.ndarray, nodes: int = 256, patch: int = 48, iters: int = 30) -> np.ndarray:
+    """Features of one shape's points after the object pipeline."""
+    first = int(((xyz - xyz.mean(0)) ** 2).sum(1).argmax())
+    at = farthest_points(xyz, nodes, first)
+    gamma, means = connected_clustering(xyz, xyz[at], [(nrm, nrm[at], "cos", 1.0), (hist, hist[at], "eu", 0.1)], iters)
+    top = max(1, len(xyz) // nodes)
+    node_hist, centres = prototypes(hist, gamma, top)[0], prototypes(xyz, gamma, top)[0]
+    f = local_attend(centres, xyz, node_hist, hist, f, patch)
+    z, node_hist = global_attend(node_hist, prototypes(f, gamma, top)[0])
+    f, hist = attend(centres, xyz, z, f, node_hist, hist, "df")
+    return spread(xyz, centres, nrm, means[0], f, z)
 
 
 def refine_shapes(points: DataFrame, dim: int, nodes: int = 256, patch: int = 48) -> DataFrame:
-    """(shape_id, pid, feat): the object pipeline on every shape.
+    """(shape_id, pid, feat): the object pipeline on every shape, with features of length one at the end.
 
     Superpoints by farthest points, connected clustering on normals and geometry histograms, prototypes of the strongest
-    members, local and global attention, attention back to points, and interpolation fused with its maximum.
+    members for positions and histograms, local attention over all points, prototypes of the features it gives, attention
+    between superpoints and back to points, and interpolation. Transport plans stop by shape (by patch in the local step).
     points: (shape_id, pid, x, y, z, nx, ny, nz, fpfh array, feat array).
     """
 
     def kernel(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("pid")
         xyz, nrm = g[["x", "y", "z"]].to_numpy(np.float64), g[["nx", "ny", "nz"]].to_numpy(np.float64)
-        fpfh, f = (np.stack(g[c].to_numpy()).astype(np.float64) for c in ("fpfh", "feat"))
-        first = int(((xyz - xyz.mean(0)) ** 2).sum(1).argmax())
-        at = farthest_points(xyz, nodes, first)
-        gamma, means = connected_clustering(xyz, xyz[at], [(nrm, "cos", 1.0), (fpfh, "eu", 0.1)])
-        top = max(1, len(xyz) // nodes)
-        z, h = np.zeros((len(at), f.shape[1])), means[1]
-        for k in range(len(at)):
-            own = np.argsort(-gamma[:, k], kind="stable")[:top]
-            w = np.maximum(gamma[own, k], 1e-4)
-            proto = w @ f[own] / w.sum()
-            near = np.argsort(((xyz - xyz[at[k]]) ** 2).sum(1), kind="stable")[:patch]
-            z[k] = (proto + local_attend(np.append(xyz[at[k]], h[k]), np.hstack([xyz[near], fpfh[near]]), f[near])) / 2
-        z = global_attend(h, z)
-        out = attend(xyz, xyz[at], f, z)
-        d = euclid(xyz, xyz[at]) + 1 - np.abs(nrm @ nrm[at].T)
-        pick = np.argsort(d, axis=1, kind="stable")[:, :8]
-        w = 1 / (np.take_along_axis(d, pick, 1) + EPS)
-        mean = (w[:, :, None] / w.sum(1)[:, None, None] * z[pick]).sum(1)
-        out = (out + (z[pick].max(1) + mean) / 2) / 2
-        return pd.DataFrame({"shape_id": g["shape_id"].iloc[0], "pid": g["pid"].to_numpy(), "feat": list(out)})
+        hist, f = (np.stack(g[c].to_numpy()).astype(np.float64) for c in ("fpfh", "feat"))
+        return pd.DataFrame({"shape_id": g["shape_id"].iloc[0], "pid": g["pid"].to_numpy(), "feat": list(refined(xyz, nrm, hist, f, nodes, patch))})
 
     kind = points.schema["shape_id"].dataType.simpleString()
-    got = per_shape(points, kernel, f"shape_id {kind}, pid long, feat array<double>")
+    got = per_shape(points.select("shape_id", "pid", "x", "y", "z", "nx", "ny", "nz", "fpfh", "feat"), kernel, f"shape_id {kind}, pid long, feat array<double>")
     return with_unit(got, "feat")
+
+
+def segment_shapes(points: DataFrame, classes: DataFrame, parts: DataFrame, dim: int, nodes: int = 256, patch: int = 48) -> DataFrame:
+    """Part segmentation with scores: (category, accuracy, iou, shapes).
+
+    points as in refine_shapes with (category, part); classes: (category, cls, emb), the texts of a category's parts;
+    parts: (category, part). Every category's points are scored against its own parts alone.
+    """
+    found = refine_shapes(points, dim, nodes, patch).join(points.select("shape_id", "pid", "category", "part"), ["shape_id", "pid"])
+    scored = found.join(classes.select("category", "cls", "emb"), "category").withColumn("s", dot(F.col("feat"), F.col("emb")))
+    best = scored.groupBy("shape_id", "category", "pid", "part").agg(F.max(F.struct("s", (-F.col("cls")).alias("c"))).alias("b"))
+    pred = best.select("shape_id", "category", "pid", "part", (-F.col("b.c")).cast("int").alias("pred"))
+    iou = shape_iou(pred, parts)
+    right = pred.groupBy("shape_id").agg(F.avg((F.col("part") == F.col("pred")).cast("double")).alias("right"))
+    return iou.join(right, "shape_id").groupBy("category").agg((100 * F.avg("right")).alias("accuracy"), (100 * F.avg("iou")).alias("iou"), F.count("*").alias("shapes"))
+
+
+def weight_grid(views: int = 10, fixed: int = 4, base: float = 0.75, steps: Sequence[float] = (0.25, 0.5, 0.75, 1.0)) -> list[list[float]]:
+    """Weights of all views: the first ones fixed, each of the others from `steps`, in order."""
+    return [[base] * fixed + list(x) for x in itertools.product(steps, repeat=views - fixed)]
+
+
+def search_view_weights(seen: DataFrame, classes: DataFrame, parts: DataFrame, grid: list[list[float]]) -> DataFrame:
+    """(category, trial, accuracy, iou, best): every trial of view weights, and the first of the highest IoU of each category.
+
+    seen: (shape_id, category, pid, part, view, is_seen, feat). Class scores are linear in the weights, so each view is
+    scored once and trials sum numbers a class, not vectors; the grid is a literal table of bounded size.
+    """
+    spark = seen.sparkSession
+    scored = seen.join(classes.select("category", "cls", "emb"), "category").withColumn("s", F.col("is_seen") * dot(F.col("feat"), F.col("emb")))
+    scored = scored.groupBy("shape_id", "category", "pid", "part", "cls").agg(F.map_from_entries(F.collect_list(F.struct("view", "s"))).alias("by_view"))
+    trials = small(spark.createDataFrame(list(enumerate(grid)), "trial int, weights array<double>"), "trials")
+    total = F.aggregate(F.map_entries("by_view"), F.lit(0.0), lambda a, e: a + e["value"] * F.element_at("weights", e["key"].cast("int") + 1))
+    tried = scored.join(F.broadcast(trials)).select("trial", "shape_id", "category", "pid", "part", F.struct(total.alias("s"), (-F.col("cls")).alias("c")).alias("b"))
+    pred = tried.groupBy("trial", "shape_id", "category", "pid", "part").agg(F.max("b").alias("b")).select("trial", "shape_id", "category", "pid", "part", (-F.col("b.c")).cast("int").alias("pred"))
+    # a trial's shape is a shape of its own to the scores
+    named = pred.withColumn("shape_id", F.struct("trial", "shape_id"))
+    iou = shape_iou(named, parts).join(named.groupBy("shape_id").agg(F.avg((F.col("part") == F.col("pred")).cast("double")).alias("right")), "shape_id")
+    got = iou.groupBy("category", F.col("shape_id.trial").alias("trial")).agg((100 * F.avg("right")).alias("accuracy"), (100 * F.avg("iou")).alias("iou"))
+    top = got.groupBy("category").agg(F.max(F.struct("iou", (-F.col("trial")).alias("t"))).alias("__top"))
+    return got.join(top, "category").withColumn("best", F.col("trial") == -F.col("__top.t")).drop("__top")
+
+
+def search_prompts(scored: DataFrame, parts: DataFrame, first: dict[int, int], candidates: dict[int, list[int]], passes: int = 2) -> tuple[dict[int, int], float]:
+    """Coordinate search over prompts of a category: (chosen prompt of each part, IoU).
+
+    scored: (shape_id, category, pid, part, prompt, s), how alike each point and prompt are. A part's candidates are tried
+    in one job, each against the prompts chosen for the others; one that raises the IoU most is kept (ties: the first).
+    """
+    spark, chosen = scored.sparkSession, dict(first)
+
+    def trials(options: list[dict[int, int]]) -> list[float]:
+        rows = [(i, cls, prompt) for i, o in enumerate(options) for cls, prompt in o.items()]
+        table = small(spark.createDataFrame(rows, "trial int, cls int, prompt int"), "prompts")
+        met = scored.join(F.broadcast(table), "prompt").groupBy("trial", "shape_id", "category", "pid", "part").agg(F.max(F.struct("s", (-F.col("cls")).alias("c"))).alias("b"))
+        named = met.select(F.struct("trial", "shape_id").alias("shape_id"), "category", "pid", "part", (-F.col("b.c")).cast("int").alias("pred"))
+        got = {r["trial"]: r["iou"] for r in shape_iou(named, parts).groupBy("shape_id.trial").agg(F.avg("iou").alias("iou")).collect()}  # a row a trial
+        return [got.get(i, 0.0) for i in range(len(options))]
+
+    best = trials([chosen])[0]
+    for _ in range(passes):
+        for part, options in candidates.items():
+            tried = trials([chosen | {part: o} for o in options]) if options else []
+            if tried and max(tried) > best:
+                best = max(tried)
+                chosen[part] = options[tried.index(best)]
+    return chosen, best
+
+
+def weighted_kmeans(x: np.ndarray, centres: np.ndarray, iters: int = 10, top: int = 0, tau: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Balanced soft k-means: transport of points to centres over a temperature, then means of the `top` strongest (0: of all)."""
+    gamma = np.ones((len(x), len(centres)))
+    for _ in range(iters):
+        gamma = sinkhorn_plan(euclid(x, centres / tau), epsilon=1e-3)
+        centres = prototypes(x, gamma, top)[0] if top else gamma.T @ x / (gamma.sum(0)[:, None] + 1e-5)
+    return gamma, centres
+
+
+def density_clusters(points: DataFrame, eps: float = 0.15, least: int = 20, key: str = "shape_id", mean: bool = False) -> DataFrame:
+    """(key, k, size, centre): clusters of dense vectors by cosine distance, numbered by their first member; centre its
+    first member or their mean. Vectors with `least` others (itself counted) within `eps` are cores; cores in reach join.
+
+    points: (key, pid, feat); a shape is a kernel, its pairs are compared a block of rows at a time.
+    """
+
+    def kernel(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("pid")
+        x = unit_rows(np.stack(g["feat"].to_numpy()).astype(np.float64))
+        near = [np.flatnonzero(1 - row <= eps) for lo in range(0, len(x), 512) for row in x[lo : lo + 512] @ x.T]
+        core = np.array([len(v) >= least for v in near])
+        label = np.full(len(x), -1)
+        k = 0
+        for i in np.flatnonzero(core):
+            if label[i] >= 0:
+                continue
+            label[i], stack = k, [i]
+            while stack:
+                for j in near[stack.pop()]:
+                    if label[j] < 0:
+                        label[j] = k
+                        if core[j]:
+                            stack.append(j)
+            k += 1
+        f = np.stack(g["feat"].to_numpy()).astype(np.float64)
+        rows = [(i, int((label == i).sum()), f[label == i].mean(0) if mean else f[label == i][0]) for i in range(k)]
+        return pd.DataFrame({key: g[key].iloc[0], "k": [r[0] for r in rows], "size": [r[1] for r in rows], "centre": [r[2] for r in rows]})
+
+    kind = points.schema[key].dataType.simpleString()
+    return per_shape(points.select(key, "pid", "feat"), kernel, f"{key} {kind}, k long, size long, centre array<double>", [key])
+
+
+def principal_colours(points: DataFrame, dim: int, vector: str = "feat", keys: Sequence[str] = ("scene",)) -> DataFrame:
+    """(keys, pid, r, g, b): the first three principal components of each scene's vectors, each scaled to 0..1.
+
+    Sums of products are a dim x dim matrix a scene, added up over Arrow batches before the shuffle; the sign of a
+    component is that of its largest coefficient.
+    """
+    keys = list(keys)
+    source = points.select(*keys, "pid", F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    kinds = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keys)
+
+    def partial(frames):
+        for frame in frames:
+            for key, own in frame.groupby(keys, dropna=False):
+                x = np.stack(own["v"].to_numpy())
+                yield pd.DataFrame({k: [v] for k, v in zip(keys, key, strict=True)} | {"n": [len(x)], "s": [x.sum(0)], "p": [(x.T @ x).ravel()]})
+
+    def axes(g: pd.DataFrame) -> pd.DataFrame:
+        n = g["n"].sum()
+        mean = np.sum(np.stack(g["s"].to_numpy()), axis=0) / n
+        cov = np.sum(np.stack(g["p"].to_numpy()), axis=0).reshape(dim, dim) / n - np.outer(mean, mean)
+        v = np.linalg.eigh(cov)[1][:, ::-1][:, :3]
+        v = v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1, 1)
+        v = np.pad(v, ((0, 0), (0, 3 - v.shape[1])))
+        return pd.DataFrame({k: [g[k].iloc[0]] for k in keys} | {"mean": [mean], "axes": [v.T.ravel()]})
+
+    found = source.mapInPandas(partial, f"{kinds}, n long, s array<double>, p array<double>").groupBy(*keys).applyInPandas(axes, f"{kinds}, mean array<double>, axes array<double>")
+    placed = source.join(found, keys).withColumn("c", F.zip_with("v", "mean", lambda x, m: x - m))
+    placed = placed.select(*keys, "pid", *[dot(F.col("c"), F.slice("axes", dim * i + 1, dim)).alias(c) for i, c in enumerate("rgb")])
+    box = placed.groupBy(*keys).agg(*[F.min(c).alias(f"lo{c}") for c in "rgb"], *[F.max(c).alias(f"hi{c}") for c in "rgb"])
+    return placed.join(box, keys).select(*keys, "pid", *[((F.col(c) - F.col(f"lo{c}")) / F.greatest(F.col(f"hi{c}") - F.col(f"lo{c}"), F.lit(1e-12))).alias(c) for c in "rgb"])

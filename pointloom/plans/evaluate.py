@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.functions.vectors import with_unit
-from pointloom.operators import classify, merge, metrics
+from pointloom.operators import classify, graph, merge, metrics
+from pointloom.operators.attention import inter_attention, recover, region_model, structural_confidence
 from pointloom.operators.segment import pooled
+from pointloom.plans.storage import stored
 
 
 def point_predictions(points: DataFrame, classes: DataFrame) -> DataFrame:
@@ -32,8 +34,57 @@ def refined_predictions(points: DataFrame, region_edges: DataFrame, classes: Dat
     return pooled_predictions(moved, classes, dim, keys)
 
 
-def refined_scores(points: DataFrame, region_edges: DataFrame, classes: DataFrame, dim: int, n_classes: int, th_f: float, th_n: float) -> DataFrame:
-    found = refined_predictions(points, region_edges, classes, dim, th_f, th_n)
+def refine(points: DataFrame, edges: DataFrame, dim: int, th_f: float = 0.85, th_n: float = 0.30, rounds: int = 10, gamma0: float = 0.5, alpha_min: float = 1.0, intra: bool = False, knn: int = 12, keys: Sequence[str] = ("scene",)) -> tuple[DataFrame, DataFrame]:
+    """The whole refinement: confidence, merging, attention between merged regions, recovery of point features.
+
+    Returns points (keys, pid, seg, root, out) and regions (keys, seg, z, z2, gate), seg the merged region there.
+    edges: directed neighbour pairs of points (keys, i, j). Confidence weighs points only if `intra` and alpha_min < 1;
+    the prototypes of intra_consensus are a query of their own, as merging pools anew. gamma0 = 0 leaves attention out.
+    Tables of regions are stored, as several steps read them.
+    """
+    keys, own = list(keys), [*keys, "seg"]
+    q = stored(structural_confidence(points, 1.0, keys).select(*keys, "pid", "q")) if intra else points.select(*keys, "pid", F.lit(1.0).alias("q"))
+    edges = stored(edges.select(*keys, "i", "j"))
+    parent = merge.hier_merge(merge.base_regions(points, dim, keys), graph.boundary(edges, points, keys), dim, rounds, th_f, th_n, keys)
+    moved = stored(points.join(parent, own).withColumnRenamed("seg", "base").withColumnRenamed("root", "seg"))
+    z = stored(pooled(moved, own, dim).select(*own, "z"))
+    if gamma0 > 0:
+        region_edges = stored(graph.degree_cap(graph.boundary(edges, moved, keys), knn, keys))
+        model = stored(region_model(moved, keys).join(z, own))
+        regions = stored(z.join(inter_attention(model, region_edges, dim, gamma0, keys=keys), own))
+    else:
+        regions = z.withColumns({"z2": F.col("z"), "gate": F.lit(0.0)})
+    out = recover(moved.join(q, [*keys, "pid"]), regions, alpha_min, keys)
+    return moved.select(*keys, "pid", F.col("base").alias("seg"), F.col("seg").alias("root")).join(out, [*keys, "pid"]), regions
+
+
+def refined_point_scores(points: DataFrame, edges: DataFrame, classes: DataFrame, dim: int, n_classes: int, **options) -> DataFrame:
+    """Scores of the refined point features."""
+    out, _ = refine(points, edges, dim, **options)
+    found = classify.argmax_class(out, classes, ["scene", "pid"], "out")
+    return metrics.scores(metrics.confusion(points.select("scene", "pid", "gt").join(found, ["scene", "pid"]), n_classes))
+
+
+def scene_run(points: DataFrame, edges: DataFrame, classes: DataFrame, dim: int, n_classes: int, th_f: float = 0.85, th_n: float = 0.30, rounds: int = 10, keys: Sequence[str] = ("scene",)) -> DataFrame:
+    """One run at chosen thresholds: (keys, method, miou, macc, oa, present, regions, merged), a row a scene and method."""
+    keys, own = list(keys), [*keys, "seg"]
+    out, regions = refine(points, edges, dim, th_f, th_n, rounds, 0.0, keys=keys)
+    gt = points.select(*keys, "pid", "gt")
+    found = {
+        "refined": classify.argmax_class(out, classes, [*keys, "pid"], "out"),
+        "pooled": pooled_predictions(points, classes, dim, keys).select(*keys, "pid", "pred"),
+        "point": classify.argmax_class(with_unit(points, "feat"), classes, [*keys, "pid"], "feat"),
+    }
+    rows = None
+    for name, pred in found.items():
+        one = gt.join(pred.select(*keys, "pid", "pred"), [*keys, "pid"]).withColumn("method", F.lit(name))
+        rows = one if rows is None else rows.unionByName(one)
+    counts = out.groupBy(*keys).agg(F.count_distinct("seg").alias("regions"), F.count_distinct("root").alias("merged"))
+    return metrics.scores(metrics.confusion(rows, n_classes, [*keys, "method"]), [*keys, "method"]).join(counts, keys)
+
+
+def refined_scores(points: DataFrame, region_edges: DataFrame, classes: DataFrame, dim: int, n_classes: int, th_f: float, th_n: float, rounds: int = 10) -> DataFrame:
+    found = refined_predictions(points, region_edges, classes, dim, th_f, th_n, rounds)
     return metrics.scores(metrics.confusion(found, n_classes))
 
 

@@ -51,12 +51,12 @@ def big_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text table: (cls, emb), unit mean vector of each label over the first hundred vectors."""
-    v = table(spark, sf_dir, "embeddings").where("vec_id < 100").select(F.col("label").alias("cls"), F.col("embedding").cast("array<double>").alias("v"))
+    """Text table: (cls, emb), unit mean vector of each label."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("label").alias("cls"), F.col("embedding").cast("array<double>").alias("v"))
     return with_unit(v.groupBy("cls").agg(sums("v", DIM).alias("emb")), "emb")
 
 
 def detail_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detail vocabulary: (idx, cls, emb), many to one onto labels."""
-    v = table(spark, sf_dir, "embeddings").where("vec_id < 200").select((F.col("label") * 4 + F.col("vec_id") % 4).cast("int").alias("idx"), F.col("label").alias("cls"), F.col("embedding").cast("array<double>").alias("v"))
+    v = table(spark, sf_dir, "embeddings").select((F.col("label") * 4 + F.col("vec_id") % 4).cast("int").alias("idx"), F.col("label").alias("cls"), F.col("embedding").cast("array<double>").alias("v"))
     return with_unit(v.groupBy("idx", "cls").agg(sums("v", DIM).alias("emb")), "emb")

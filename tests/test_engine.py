@@ -1,5 +1,4 @@
 import json
-import math
 
 import duckdb
 import numpy as np
@@ -26,7 +25,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["point_argmax", "hilbert_codes", "hilbert_decoded", "curve_votes", "grid_knn", "exact_knn", "merge_round2", "neighbour_cov", "voxel_adjacency26", "bootstrap_delta", "shape_iou", "ball_query", "scene_pick", "minmax_quantise"])
+@pytest.mark.parametrize("name", ["point_argmax", "hilbert_codes", "hilbert_decoded", "curve_votes", "grid_knn", "exact_knn", "merge_round2", "neighbour_cov", "voxel_adjacency26", "bootstrap_delta", "shape_iou", "ball_query", "scene_pick", "minmax_quantise", "fpfh", "structural_confidence", "recovered_points", "intra_consensus", "merged_regions", "patch_groups", "grid_seeds", "image_cells", "scene_run", "region_normals"])
 def test_query_equals_sql(spark, duck, name):
     got, want = catalog.queries()[name](spark, SF).toPandas(), duck.sql(catalog.oracle_sql()[name]).df()
     columns = sorted(got.columns)
@@ -228,8 +227,3 @@ def test_running_confusion(spark, tmp_path):
 def test_offsets(spark):
     got = curves.batch_of_offset(spark.createDataFrame([(0, 2), (1, 2), (2, 5)], "batch long, offset long")).collect()
     assert sorted((r["batch"], r["pos"]) for r in got) == [(0, 0), (0, 1), (2, 2), (2, 3), (2, 4)]
-
-
-def test_effective_resolution():
-    assert supervoxel.effective_resolution(8, 8.0, 0.1) == pytest.approx(1) and supervoxel.effective_resolution(8, 0.0, 0.1) == 0.1
-    assert math.isfinite(supervoxel.effective_resolution(0, 1.0, 0.1))
