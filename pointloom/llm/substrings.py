@@ -11,9 +11,16 @@ passes over the same written table:
    may repeat in part.
 2. The bytes of the latter alone, the first of each content, are sent to the bucket of their trigger. There all their
    50-byte suffixes are put in lexicographic order (the suffix array of that part of the dictionary, cut at 50 bytes)
-   and every one learns the smallest document it starts in.
+   and every one learns the smallest document it starts in. A trigger of over `HOT` contents (a passage that very many
+   documents set in different words) is not gathered: the windows of its phrases go by their own hashes to further
+   buckets, each once a chunk with the smallest document that has it there.
 3. The parse takes the corpus order of its phrases' windows from both answers and removes what the repeated ones cover.
 
+What orders the corpus here is the dictionary alone. Suffixes are compared over 50 bytes, and as phrases overlap by 49,
+each window lies whole in a phrase: suffixes of phrases that agree that far are one group, whichever phrases follow. The
+suffix array of the parse would only order the members of a group among each other by what follows them, which the
+smallest document of the group does not ask for, so the parse is not sorted; its list of documents by phrase is used.
+
 Texts are never shuffled: answers go to a file for each partition of the table, and a partition reads its own. Sizes
 are bounded: chunks by CHUNK bytes (a longer text is parsed in segments that overlap by 49 bytes), buckets by their
 number, which grows with the text, and a phrase that very many documents share comes once a chunk.
@@ -29,6 +36,7 @@ import pickle
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +50,7 @@ from pointloom.llm.wordscan import prefix_hash, stretch_hash
 
 GRAM = 16
 CHUNK = 1 << 20
+HOT = 20_000  # contents that a trigger may have in a bucket; about 2 MB of phrases
 PER_BUCKET = 4_000_000  # bytes of text a bucket answers for, on average
 _SALT = mix(np.arange(1000, 1256, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
@@ -126,6 +135,28 @@ class Parsed:
         self.bucket = bucket_of(self.trigger, buckets)
 
 
+class Windows:
+    """Windows of the phrases `asked` of a chunk and those of them that are sent: the first of each (window, trigger) by id."""
+
+    def __init__(self, p: Parsed, asked: np.ndarray, data: np.ndarray, length: int, buckets: int):
+        head = p.head[asked]
+        many = p.many[head]
+        self.many = many
+        at = np.repeat(p.at[head], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        own, trigger = np.repeat(p.doc[head], many), np.repeat(p.trigger[asked], many)
+        window = stretch_hash(prefix_hash(data), at, at + length)
+        order = np.lexsort((own, trigger, window))
+        w, t = window[order], trigger[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (w[1:] != w[:-1]) | (t[1:] != t[:-1])
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        first = order[new]
+        self.window, self.trigger, self.doc = window[first], trigger[first], own[first]
+        self.repeats = own > self.doc[self.of] if len(order) else np.zeros(0, bool)
+        self.bucket = buckets + bucket_of(self.window, buckets)
+
+
 def bucket_of(trigger: np.ndarray, buckets: int) -> np.ndarray:
     return ((trigger >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
@@ -157,8 +188,9 @@ def _answers(group: pa.Table, bodies: list[bytes]) -> pa.Table:
     return pa.table([group.column("split"), group.column("chunk"), group.column("bucket"), pa.array(bodies, pa.binary())], schema=ANSWER)
 
 
-def whole(group: pa.Table) -> pa.Table:
-    """0: no other document has the phrase or its trigger; 1: a smaller document has the phrase; 2: parts may repeat."""
+def whole(group: pa.Table, hot: int = HOT) -> pa.Table:
+    """0: no other document has the phrase or its trigger; 1: a smaller document has the phrase; 2: parts may repeat; 3: they
+    may, and the trigger has over `hot` contents."""
     n, doc, bodies = _columns(group)
     numbers = [np.frombuffer(b, np.uint64) for b in bodies]
     trigger = np.concatenate([x[: len(x) // 2] for x in numbers])
@@ -172,17 +204,36 @@ def whole(group: pa.Table) -> pa.Table:
     of_t, of_c = np.cumsum(new_t) - 1, np.cumsum(new_c) - 1
     contents = np.bincount(of_t, new_c)
     lowest, highest = np.minimum.reduceat(d, np.flatnonzero(new_t)), np.maximum.reduceat(d, np.flatnonzero(new_t))
-    state = np.where(d > d[new_c][of_c], 1, np.where((contents[of_t] > 1) & (lowest < highest)[of_t], 2, 0)).astype(np.uint8)
+    shared = np.where(contents > hot, 3, 2)[of_t]
+    state = np.where(d > d[new_c][of_c], 1, np.where((contents[of_t] > 1) & (lowest < highest)[of_t], shared, 0)).astype(np.uint8)
     out = np.empty(len(order), np.uint8)
     out[order] = state
     ends = np.cumsum(n).tolist()
     return _answers(group, [zlib.compress(out[a:b].tobytes(), 1) for a, b in zip([0, *ends[:-1]], ends, strict=True)])
 
 
-def in_part(length: int) -> Callable[[pa.Table], pa.Table]:
-    """Bits of the windows of each phrase, in turn: whether a smaller document has the window."""
+def by_window(group: pa.Table) -> pa.Table:
+    """Bits of the windows that were sent: whether a smaller document has one."""
+    n, doc, bodies = _columns(group)
+    numbers = [np.frombuffer(b, np.uint64) for b in bodies]
+    window = np.concatenate([x[: len(x) // 2] for x in numbers])
+    trigger = np.concatenate([x[len(x) // 2 :] for x in numbers])
+    order = np.lexsort((doc, trigger, window))
+    w, t, d = window[order], trigger[order], doc[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (w[1:] != w[:-1]) | (t[1:] != t[:-1])
+    out = np.empty(len(order), bool)
+    out[order] = d > d[new][np.cumsum(new) - 1]
+    ends = np.cumsum(n).tolist()
+    return _answers(group, [zlib.compress(np.packbits(out[a:b]).tobytes(), 1) for a, b in zip([0, *ends[:-1]], ends, strict=True)])
+
+
+def in_part(length: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
+    """Bits of the windows of each phrase, in turn: whether a smaller document has the window. Buckets from `buckets` on are of windows."""
 
     def answer(group: pa.Table) -> pa.Table:
+        if group.column("bucket")[0].as_py() >= buckets:
+            return by_window(group)
         n, doc, bodies = _columns(group)
         sizes, texts = [], []
         for k, body in zip(n, bodies, strict=True):
@@ -245,7 +296,7 @@ def load(base: str, split: int) -> dict[tuple[int, int], bytes]:
         return pickle.loads(source.read())
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, then_schema: str = "") -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, then_schema: str = "", hot: int = HOT) -> DataFrame:
     """Rows (doc_id, text binary, *keep, spans array of (start, end) in bytes): what repeats a smaller document.
 
     `then` turns batches of these rows into others of `then_schema` in the same worker.
@@ -299,13 +350,17 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         known = None
         for split, chunk, _, _, data, p in parsed(batches):
             known = load(first_dir, split) if known is None else known
-            asked = np.flatnonzero(states(known, chunk, p) == 2)
+            state = states(known, chunk, p)
+            asked = np.flatnonzero(state == 2)
             head = p.head[asked]
             doc, start, size = p.doc[head], p.at[head], p.many[head] + length - 1
             found = []
             for b, s in by_bucket(p.bucket[asked]):
                 body = b"".join(data[x : x + n].tobytes() for x, n in zip(start[s].tolist(), size[s].tolist(), strict=True))
                 found.append((b, s.stop - s.start, packed(doc[s]), size[s].astype(np.int32).tobytes() + body))
+            if (state == 3).any():
+                w = Windows(p, np.flatnonzero(state == 3), data, length, buckets)
+                found += [(b, s.stop - s.start, packed(w.doc[s]), w.window[s].tobytes() + w.trigger[s].tobytes()) for b, s in by_bucket(w.bucket)]
             if found:
                 yield rows(split, chunk, found)
 
@@ -323,14 +378,21 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             for b, s in by_bucket(p.bucket[asked]):
                 lo, hi = int(ends[s.start] - many[asked[s.start]]), int(ends[s.stop - 1])
                 bits[lo:hi] = np.unpackbits(np.frombuffer(zlib.decompress(parts[chunk, b]), np.uint8), count=hi - lo)
+            place = np.full(len(p.head), -1)
+            place[asked] = ends - many[asked]
+            if (state == 3).any():
+                w = Windows(p, np.flatnonzero(state == 3), data, length, buckets)
+                smaller = np.zeros(len(w.window), bool)
+                for b, s in by_bucket(w.bucket):
+                    smaller[s] = np.unpackbits(np.frombuffer(zlib.decompress(parts[chunk, b]), np.uint8), count=s.stop - s.start)
+                place[state == 3] = len(bits) + np.cumsum(w.many) - w.many
+                bits = np.concatenate([bits, w.repeats | smaller[w.of]])
             gone = np.zeros(len(data) + 1, np.int32)
             full = p.repeats | (state[p.of] == 1)
             np.add.at(gone, p.at[full], 1)
             np.add.at(gone, p.at[full] + p.many[full] + length - 1, -1)
-            if len(asked):
-                place = np.full(len(p.head), -1)
-                place[asked] = ends - many[asked]
-                mine = np.flatnonzero(~full & (state[p.of] == 2))
+            if len(bits):
+                mine = np.flatnonzero(~full & (state[p.of] >= 2))
                 n = p.many[mine]
                 i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 hit = bits[np.repeat(place[p.of[mine]], n) + i]
@@ -381,8 +443,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         found = asked.groupBy("bucket").applyInArrow(lean(by), ANSWER_SQL)
         scratch.table(found.groupBy("split").applyInArrow(save(base), "split int"), base.rsplit("/", 1)[1] + "-done")
 
-    answers(ask_whole, whole, first_dir)
-    answers(ask_parts, in_part(length), second_dir)
+    answers(ask_whole, partial(whole, hot=hot), first_dir)
+    answers(ask_parts, in_part(length, buckets), second_dir)
     scratch.keep("docs", "whole", "parts")
     if not plain:
         return source.mapInArrow(out, then_schema)

@@ -6,8 +6,8 @@ record's version line, header fields, lengths and payload digest.
 
 Of records with one payload, that with the smallest page id is written in full and the others are `revisit` records
 that name it. Payload digests decide which, by a grouped minimum; the pages themselves are shuffled once, by their
-unique id, to meet the answer, so a payload with very many copies gathers nowhere. Each task writes one archive of a
-bounded size, with a dictionary of bounded size trained on its own first records.
+unique id, to meet the answer, so a payload with very many copies gathers nowhere. Each task writes archives, a new one
+after every `ROLL` bytes, with a dictionary of bounded size trained on the task's first records.
 
 Null html counts as empty. Rows that repeat the smallest page id of a payload are responses too. A null page id counts
 as larger than any other; a null url is written as `about:blank`. Other columns of the input are ignored.
@@ -36,6 +36,7 @@ FRAME = 0xFD2FB528
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 TRAINED_ON, DICTIONARY_SIZE = 200, 64 * 1024
+ROLL = 1 << 28  # compressed bytes after which an archive is closed
 
 
 def digest(payload: bytes) -> str:
@@ -62,11 +63,13 @@ class ArchiveWriter:
         raw = dictionary.as_bytes()
         sink.write(struct.pack("<II", SKIPPABLE, len(raw)) + raw)
         self.compressor = zstandard.ZstdCompressor(level=level, dict_data=dictionary, write_content_size=True, write_checksum=True)
-        self.n = 0
+        self.n = self.size = 0
 
     def add(self, raw: bytes) -> None:
-        self.sink.write(self.compressor.compress(raw))
+        frame = self.compressor.compress(raw)
+        self.sink.write(frame)
         self.n += 1
+        self.size += len(frame)
 
 
 def make_dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
@@ -138,7 +141,7 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
-def write_archives(pages: DataFrame, scratch: Scratch, least_revisit: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def write_archives(pages: DataFrame, scratch: Scratch, least_revisit: int = 0, roll: int = ROLL, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes all pages; returns the manifest: rows (path, n). Payloads under `least_revisit` bytes are always responses."""
     base = scratch.path("archives")
     text = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
@@ -154,29 +157,39 @@ def write_archives(pages: DataFrame, scratch: Scratch, least_revisit: int = 0, i
     def write(batches):
         fs, root = arrow_fs.FileSystem.from_uri(base)
         fs.create_dir(root, recursive=True)
-        name, out, sink, waiting = f"{uuid.uuid4().hex}.warc.zst", None, None, []
+        name, out, sink, waiting = "", None, None, []
 
         def start():
-            nonlocal out, sink
+            nonlocal name, out, sink
+            name = f"{uuid.uuid4().hex}.warc.zst"
             sink = fs.open_output_stream(f"{root}/{name}")
             out = ArchiveWriter(sink, waiting)
-            for raw in waiting:
-                out.add(raw)
+
+        def stop() -> pa.RecordBatch:
+            sink.close()
+            return pa.RecordBatch.from_pydict({"path": [f"{base}/{name}"], "n": pa.array([out.n], pa.int64())})
 
         for batch in batches:
             for page, url, payload, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = record("response" if refers is None else "revisit", page, url, payload, refers)
-                if out is not None:
-                    out.add(raw)
-                else:
+                if len(waiting) < TRAINED_ON:  # the dictionary is made from these, then they are written
                     waiting.append(raw)
-                    if len(waiting) == TRAINED_ON:
-                        start()
+                    if len(waiting) < TRAINED_ON:
+                        continue
+                    start()
+                    for one in waiting:
+                        out.add(one)
+                    continue
+                if out.size > roll:
+                    yield stop()
+                    start()
+                out.add(raw)
         if out is None and waiting:
             start()
+            for one in waiting:
+                out.add(one)
         if out is not None:
-            sink.close()
-            yield pa.RecordBatch.from_pydict({"path": [f"{base}/{name}"], "n": pa.array([out.n], pa.int64())})
+            yield stop()
 
     return scratch.table(dealt.mapInArrow(write, "path string, n long"), "manifest")
 

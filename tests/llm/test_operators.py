@@ -175,11 +175,21 @@ def test_spread_join(spark):
         assert got.count() == 6000 and got.where("v <> key * 2").count() == 0
 
 
-@pytest.mark.parametrize("make", [cases.documents, cases.empty])
-def test_substrings(spark, make):
+def _settings(spark):
+    """A passage that many documents set in different words, so that its triggers have many contents."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(2, 8)))
+    line = "permission is hereby granted free of charge to any person obtaining a copy of this and that"
+    rows = [(i, f"{word()} {word()} {line if i % 3 else line[:70]} {word()} {word()} {line[20:] if i % 5 == 0 else ''}", "s") for i in range(60)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+
+
+@pytest.mark.parametrize("hot", [substrings.HOT, 1])
+@pytest.mark.parametrize("make", [cases.documents, cases.empty, _settings])
+def test_substrings(spark, make, hot):
     docs = make(spark)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    got = {r["doc_id"]: r for r in substrings.repeated_spans(docs, keep=("source",)).collect()}
+    got = {r["doc_id"]: r for r in substrings.repeated_spans(docs, keep=("source",), hot=hot).collect()}
     expected = cases.substrings(rows)
     assert got.keys() == expected.keys()
     import hashlib
@@ -349,6 +359,12 @@ def test_warc_repeated_rows_and_small_payloads(spark):
     assert got == [(1, "response"), (1, "response"), (2, "revisit"), (3, "response"), (4, "response"), (None, "revisit")]
 
 
+def test_warc_archives_roll(spark):
+    pages = spark.range(900).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("p"), F.col("id"), F.sha2(F.col("id").cast("string"), 512)).alias("html")).repartition(1)
+    manifest = warc.write_archives(pages, Scratch(spark, "t"), roll=20_000)
+    assert manifest.count() > 2 and warc.read_archives(manifest).select("page_id").distinct().count() == 900
+
+
 def _archive(*payloads: bytes) -> bytes:
     sink = io.BytesIO()
     raw = [warc.record("response", i, "u", p, None) for i, p in enumerate(payloads)]
