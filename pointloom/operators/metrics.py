@@ -81,3 +81,8 @@ def shape_accuracy(points: DataFrame) -> DataFrame:
     """Mean over shapes of the percentage of points with the right part."""
     each = points.groupBy("shape_id").agg(F.avg((F.col("part") == F.col("pred")).cast("double")).alias("a"))
     return each.agg((100 * F.avg("a")).alias("accuracy"))
+
+
+def averages(rows: DataFrame, *columns: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Means of columns over scenes, such as numbers of regions or seconds, and how many scenes there are."""
+    return rows.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in columns], F.count("*").alias("scenes"))

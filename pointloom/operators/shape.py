@@ -100,6 +100,15 @@ def interpolate(points: DataFrame, nodes: DataFrame, dim: int, k: int = 8, key:
     return got.select(key, "pid", F.transform("s", lambda x: x / F.col("w")).alias("feat"))
 
 
+def scatter_back(points: DataFrame, patch_feats: DataFrame, key: str = "shape_id") -> DataFrame:
+    """Points with features of patches written over their own; of several patches that hold a point, that of the highest node and slot.
+
+    patch_feats: (key, i, slot, j, feat).
+    """
+    last = patch_feats.groupBy(key, F.col("j").alias("pid")).agg(F.max_by("feat", F.struct("i", "slot")).alias("__new"))
+    return points.join(last, [key, "pid"], "left").withColumn("feat", F.coalesce("__new", "feat")).drop("__new")
+
+
 def curvature(edges: DataFrame, points: DataFrame, key: str = "shape_id") -> DataFrame:
     """(key, pid, linearity, planarity, scatter) from the eigenvalues of each neighbourhood."""
     from pointloom.operators.segment import PAIRS, covariances

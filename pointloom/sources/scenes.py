@@ -91,3 +91,14 @@ def few_shot(shapes: DataFrame, k: int = 16, seed: int = 0, label: str = "catego
     """k shapes of each label by a seeded hash."""
     order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
     return shapes.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k).drop("at")
+
+
+def assembled(points: DataFrame, features: DataFrame, geometry: DataFrame | None = None, mesh: DataFrame | None = None, partition: DataFrame | None = None, keys: Sequence[str] = ("scene", "pid")) -> DataFrame:
+    """Points with sparse features (`valid`, `feat`), geometry columns where there are any, and `seg` of the mesh or else of the other partition."""
+    out = with_features(points, features, keys)
+    if geometry is not None:
+        out = out.join(geometry, list(keys), "left")
+    if mesh is not None and partition is not None:
+        return with_segments(out, mesh, partition)
+    one = mesh if partition is None else partition
+    return out if one is None else out.join(one.select(*keys, "seg"), list(keys))

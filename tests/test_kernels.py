@@ -354,3 +354,18 @@ def test_text_colours_and_offsets(spark):
 def test_rich_scenes(spark):
     rows = spark.createDataFrame([(i, 9 if i < 2 else 4) for i in range(6)], "scene int, n_classes int")
     assert classify.rich_scenes(rows, 9, 3).count() == 6 and classify.rich_scenes(rows, 9, 2).count() == 2
+
+
+def test_assembled_scenes_and_small_helpers(spark):
+    from pointloom.operators import metrics
+    from pointloom.sources import scenes
+
+    points = spark.createDataFrame([("a", i, float(i)) for i in range(3)], "scene string, pid long, x double")
+    feats = spark.createDataFrame([("a", 1, [1.0, 2.0])], "scene string, pid long, feat array<double>")
+    seg = points.select("scene", "pid").withColumn("seg", F.col("pid") % 2)
+    got = scenes.assembled(points, feats, points.select("scene", "pid", F.lit(0.5).alias("nz")), seg, seg).orderBy("pid").collect()
+    assert [(r["valid"], r["feat"], r["nz"], r["seg"]) for r in got] == [(False, [0.0, 0.0], 0.5, 0), (True, [1.0, 2.0], 0.5, 1), (False, [0.0, 0.0], 0.5, 0)]
+    shapes = spark.createDataFrame([(0, i, [0.0]) for i in range(3)], "shape_id long, pid long, feat array<double>")
+    patch = spark.createDataFrame([(0, 0, 0, 1, [5.0]), (0, 2, 0, 1, [7.0])], "shape_id long, i long, slot int, j long, feat array<double>")
+    assert [r["feat"] for r in shape.scatter_back(shapes, patch).orderBy("pid").collect()] == [[0.0], [7.0], [0.0]]
+    assert metrics.averages(spark.createDataFrame([(1, 2.0), (3, 4.0)], "regions int, s double"), "regions", "s").first() == (2.0, 3.0, 2)
