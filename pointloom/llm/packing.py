@@ -109,6 +109,7 @@ def token_pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str, i
                 kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "number"])
             del batch, data, raw
+            release("tokens")
 
     return source.mapInArrow(of, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part int, number long")
 
