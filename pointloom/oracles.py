@@ -420,7 +420,7 @@ SELECT scene, i, j, votes FROM both_ QUALIFY row_number() OVER (PARTITION BY sce
         "segment_softmax": f"WITH {KNN} SELECT scene, i, j, round(exp(-d2) / sum(exp(-d2)) OVER (PARTITION BY scene, i), 6) AS a FROM knn",
         "segment_cov": f"WITH {VEC} SELECT scene, seg, {cov}, count(*) AS n FROM vp GROUP BY ALL",
         "neighbour_cov": f"""WITH {KNN}, t AS (SELECT e.scene, e.i AS pid, p.x, p.y, p.z FROM knn e JOIN vp p ON p.scene = e.scene AND p.pid = e.j)
-SELECT scene, pid, count(*) AS cnt, {', '.join(f"round((sum({a}*{b}) - count(*)*avg({a})*avg({b})) / count(*){' + 1e-9' if a == b else ''}, 6) AS c{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))} FROM t GROUP BY ALL""",
+SELECT scene, pid, count(*) AS cnt, {', '.join(f"round((sum({a}*{b}) - count(*)*avg({a})*avg({b})) / count(*){' + 1e-9' if a == b else ''}, 6) + 0.0 AS c{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))} FROM t GROUP BY ALL""",
         "voxel_mean": f"WITH {BIG} SELECT scene, {cell(0.1)}, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM bp GROUP BY scene, 2, 3, 4",
         "voxel_first": f"WITH {BIG} SELECT scene, {cell(0.1)}, min(pid) AS pid, count(*) AS n FROM bp GROUP BY scene, 2, 3, 4",
         "voxel_adjacency26": f"""WITH {BIG}, v AS (SELECT DISTINCT scene, {cell(0.1)} FROM bp)
