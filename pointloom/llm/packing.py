@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import Scratch, arrow_map, flat, release, table
+from pointloom.llm.common import Scratch, arrow_map, release, table
 from pointloom.llm.tokens import default_vocabulary, word_ids
 
-KEPT = 600_000  # known chunks of text a worker keeps, twice
+KEPT = 800_000  # known chunks and parts of text a worker keeps, twice
 
 def fullest(counts: dict[int, int], order: list[int], room: int) -> dict[int, int]:
     """How many of each length make up the largest sum of at most `room`."""
@@ -94,21 +94,17 @@ def token_pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str, i
         part, seen, end = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), np.array([end_id], "<u4").tobytes()
         release("tokens")
         for batch in batches:
-            ids = word_ids(vocabulary, kept or KEPT)
-            data, offsets = flat(batch.column(1))
-            raw, out = data.tobytes(), []
-            for doc, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                found = ids.encode(raw[a:b]) + end
-                n = len(found) // 4
+            ids, out = word_ids(vocabulary, kept or KEPT), []
+            for doc, found in zip(batch.column(0).to_pylist(), ids.each(batch.column(1)), strict=True):
+                n = len(found) + 1
                 for piece, start in enumerate(range(0, n, capacity)):
-                    own = found[4 * start : 4 * (start + capacity)]
-                    size = len(own) // 4
-                    out.append((doc, piece, start, size, zlib.crc32(own), part, int(seen[size])))
+                    size, crc = min(capacity, n - start), zlib.crc32(found[start : start + capacity])
+                    out.append((doc, piece, start, size, zlib.crc32(end, crc) if start + size == n else crc, part, int(seen[size])))
                     seen[size] += 1
             if out:
                 kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "number"])
-            del batch, data, raw
+            del batch, ids, out
             release("tokens")
 
     return source.mapInArrow(of, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part int, number long")

@@ -1,29 +1,34 @@
 """Token ids of whole texts with a public tokenizer, fast on long tables.
 
 The tokenizer splits a text at white space before it applies merges, so a text's ids are the ids of its white-space
-chunks in a row. Each Python worker keeps the ids of the chunks and of the letter runs it has met (bounded; emptied when
-full) and gives only new ones to the tokenizers library.
+chunks in a row. Each Python worker keeps the ids of the chunks and of their parts it has met (in two generations of a
+bounded size) and gives only new ones to the tokenizers library. Arrow tells the chunks of some texts apart, so Python
+sees each different one once a group of texts.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-from pointloom.llm.common import CACHES
+from pointloom.llm.common import CACHES, flat, pieces
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-KEPT = 400_000  # entries of each of two generations of a cache, about 400 MB a worker
+KEPT = 400_000  # entries of each of two generations of the cache
+GROUP = 4 << 20  # bytes of text whose chunks are looked up together
 #: The split pattern that the vocabulary file itself states.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _made: dict[tuple[str, int], WordIds] = {}
 
 
 class WordIds:
-    """Ids of texts as little-endian unsigned 32-bit numbers in bytes."""
+    """Ids of texts as unsigned 32-bit numbers."""
 
     def __init__(self, path: str, kept: int | None = None):
         from tokenizers import Tokenizer
@@ -34,60 +39,80 @@ class WordIds:
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.chunks: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.old_chunks: dict[bytes, bytes] = {}
-        self.old_parts: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}  # chunks as they stand, and their parts in normal form
+        self.old: dict[bytes, bytes] = {}
 
-    def _ask(self, parts: list[str]) -> None:
+    def _ask(self, parts: list[bytes]) -> None:
         """Gives new parts to the library, many in one text; every part ends with its only word-end token."""
-        ids = np.array(self.library.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.library.encode_batch_fast([b" ".join(parts).decode()], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.last[ids] if not len(ids) or ids.max() < len(self.last) else np.zeros(len(ids), bool)) + 1
         if len(ends) == len(parts):
             raw, ends = ids.tobytes(), (ends * 4).tolist()
-            self.parts.update(zip(parts, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+            self.known.update(zip(parts, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
         else:
-            for part, found in zip(parts, self.library.encode_batch_fast(parts, add_special_tokens=False), strict=True):
-                self.parts[part] = np.array(found.ids, "<u4").tobytes()
+            for part, found in zip(parts, self.library.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False), strict=True):
+                self.known[part] = np.array(found.ids, "<u4").tobytes()
 
-    def _learn(self, chunks: set[bytes]) -> None:
-        """Adds the ids of new chunks; texts and letter runs met before the last change of generation are taken over."""
-        old, known = self.old_chunks, self.chunks
-        split, new, parts, old_parts = [], [], self.parts, self.old_parts
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Adds the ids of new chunks; what was met before the last change of generation is taken over."""
+        old, known, split, new = self.old, self.known, [], []
         for chunk in chunks:
             if (ids := old.get(chunk)) is not None:
                 known[chunk] = ids
-                continue
-            if chunk.isalpha():  # ASCII letters alone
-                found = [chunk.decode().lower()]
+            elif chunk.isalpha() and chunk.islower():  # small ASCII letters alone are a part
+                new.append(chunk)
             else:
-                found = PATTERN.findall(chunk.decode().lower() if chunk.isascii() else self.library.normalizer.normalize_str(chunk.decode("utf-8", "replace")))
-            split.append((chunk, found))
-            for p in found:
-                if p not in parts:
-                    if (ids := old_parts.get(p)) is not None:
-                        parts[p] = ids
-                    else:
-                        new.append(p)
-        new = list(dict.fromkeys(new))
+                split.append((chunk, [p.encode() for p in PATTERN.findall(chunk.decode().lower() if chunk.isascii() else self.library.normalizer.normalize_str(chunk.decode("utf-8", "replace")))]))
+        for part in {p for _, parts in split for p in parts}.difference(known, new):
+            if (ids := old.get(part)) is not None:
+                known[part] = ids
+            else:
+                new.append(part)
         for lo in range(0, len(new), 1000):
             self._ask(new[lo : lo + 1000])
-        for chunk, found in split:
-            known[chunk] = parts[found[0]] if len(found) == 1 else b"".join([parts[p] for p in found])
+        for chunk, parts in split:
+            known[chunk] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
 
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()
+    def _ids(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of different chunks."""
         out = []
-        for lo in range(0, len(words), self.kept // 4):
-            part = words[lo : lo + self.kept // 4]
-            if len(self.chunks) > self.kept:
-                self.old_chunks, self.chunks = self.chunks, {}
-            if len(self.parts) > self.kept:
-                self.old_parts, self.parts = self.parts, {}
-            if new := set(part).difference(self.chunks):
-                self._learn(new)
-            out.append(b"".join(map(self.chunks.__getitem__, part)))
-        return b"".join(out)
+        for lo in range(0, len(chunks), self.kept // 4):
+            part = chunks[lo : lo + self.kept // 4]
+            if len(self.known) > self.kept:
+                self.old, self.known = self.known, {}
+            found = list(map(self.known.get, part))
+            if None in found:
+                at = [i for i, ids in enumerate(found) if ids is None]
+                missing = [part[i] for i in at]
+                self._learn(missing)
+                for i, chunk in zip(at, missing, strict=True):
+                    found[i] = self.known[chunk]
+            out += found
+        return out
+
+    def encode(self, text: bytes) -> bytes:
+        """Ids of a text as little-endian bytes."""
+        return next(self.each(pa.array([text], pa.large_binary()))).tobytes()
+
+    def each(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of every text of a string column, null as empty.
+
+        Chunks of about GROUP bytes of texts are told apart at once, so each different one is looked up once.
+        """
+        data, offsets = flat(column)
+        texts = pa.Array.from_buffers(pa.large_string(), len(column), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        for lo, hi in pieces(offsets, GROUP):
+            lists = pc.ascii_split_whitespace(texts.slice(lo, hi - lo))
+            words = lists.flatten().dictionary_encode()
+            ids = self._ids(words.dictionary.cast(pa.large_binary()).to_pylist())
+            every, size = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            code = words.indices.to_numpy()
+            many, first = size[code], (np.cumsum(size) - size)[code]
+            ends = np.concatenate([[0], np.cumsum(many)])
+            found = every[np.repeat(first - ends[:-1], many) + np.arange(ends[-1])]
+            cuts = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield found[a:b]
 
 
 def word_ids(path: str, kept: int | None = None) -> WordIds:

@@ -23,7 +23,7 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import Scratch, flat, table
+from pointloom.llm.common import Scratch, table
 from pointloom.llm.tokens import default_vocabulary, word_ids
 
 ROWS = 256  # rows of a batch
@@ -84,15 +84,13 @@ def write_store(docs: DataFrame, scratch: Scratch, width: int = 2048, end_id: in
         name = f"{shard:07d}-{uuid.uuid4().hex}"
         out, keys, starts, end = None, [], [], np.array([end_id], "<u4")
         for batch in batches:
-            data, offsets = flat(batch.column(1))
-            raw = data.tobytes()
-            for doc, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            for doc, found in zip(batch.column(0).to_pylist(), ids.each(batch.column(1)), strict=True):
                 if out is None:
                     sink = fs.open_output_stream(f"{root}/{name}.arrow")
                     out = ShardWriter(sink, width, kind)
                 keys.append(doc)
                 starts.append(out.n)
-                out.add(np.append(np.frombuffer(ids.encode(raw[a:b]), "<u4"), end))
+                out.add(np.append(found, end))
         if out is not None:
             out.close()
             sink.close()

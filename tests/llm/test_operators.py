@@ -3,6 +3,7 @@ import struct
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,6 +271,18 @@ def test_tokens_survive_a_small_cache(monkeypatch):
         assert np.frombuffer(ids.encode(text.encode()), "<u4").tolist() == library(text)
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+@pytest.mark.parametrize("room", [1, 40, 4 << 20])
+def test_tokens_of_a_column(monkeypatch, kind, room):
+    monkeypatch.setattr(tokens, "GROUP", room)
+    ids, library = tokens.WordIds(tokens.default_vocabulary(), 20), _library()
+    texts = [None, "", " \t\n", "  led and  trailing\r\n", None, "a,b. A,b a,b.", "é" * 50, "no-space" * 30, "NBSP\u00a0in it", *cases.texts(), None]
+    column = pa.array(["cut off", *texts], kind).slice(1)
+    got = [x.tolist() for x in ids.each(column)]
+    assert got == [library(t) for t in texts]
+    assert not list(ids.each(column.slice(0, 0)))
+
+
 @pytest.mark.parametrize("make", [cases.documents, cases.repeated, cases.empty])
 def test_packing(spark, make):
     docs, library = make(spark), _library()
