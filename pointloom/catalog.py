@@ -370,9 +370,14 @@ def per_scene_classes(spark, sf):
     return big_points(spark, sf).where("gt between 0 and 9").groupBy("scene").agg(F.count_distinct("gt").alias("n_classes"), F.count("*").alias("n"))
 
 
+def _gain(points: DataFrame) -> DataFrame:
+    """Mean x by region, summed as decimals: equal regions tie however their rows are dealt."""
+    return points.groupBy(F.col("seg").alias("scene")).agg(F.avg(F.col("x").cast("decimal(28,18)")).alias("gain"), F.count_distinct(F.when(F.col("gt").between(0, 9), F.col("gt"))).alias("n_classes"))
+
+
 @query
 def scene_pick(spark, sf):
-    gains = big_points(spark, sf).groupBy(F.col("seg").alias("scene")).agg(F.avg("x").alias("gain"))
+    gains = _gain(big_points(spark, sf))
     return classify.pick_by_rank(gains, "gain", ["scene"]).select("scene", F.col("pick").cast("int").alias("pick"))
 
 
@@ -477,8 +482,7 @@ def class_colours(spark, sf):
 @query
 def rich_scene_pick(spark, sf):
     """Scenes with nine classes or more, by gain: those at a sixth, the middle and near the end."""
-    gains = big_points(spark, sf).groupBy(F.col("seg").alias("scene")).agg(F.avg("x").alias("gain"), F.count_distinct(F.when(F.col("gt").between(0, 9), F.col("gt"))).alias("n_classes"))
-    return classify.pick_by_rank(classify.rich_scenes(gains), "gain", ["scene"]).select("scene", F.col("pick").cast("int").alias("pick"))
+    return classify.pick_by_rank(classify.rich_scenes(_gain(big_points(spark, sf))), "gain", ["scene"]).select("scene", F.col("pick").cast("int").alias("pick"))
 
 
 @query

@@ -227,3 +227,9 @@ def test_running_confusion(spark, tmp_path):
 def test_offsets(spark):
     got = curves.batch_of_offset(spark.createDataFrame([(0, 2), (1, 2), (2, 5)], "batch long, offset long")).collect()
     assert sorted((r["batch"], r["pos"]) for r in got) == [(0, 0), (0, 1), (2, 2), (2, 3), (2, 4)]
+
+
+def test_equal_regions_tie_in_gain_however_their_rows_are_dealt(spark):
+    rows = [(0, x, 1) for x in (0.1, 0.2, 0.3)] + [(1, x, 1) for x in (0.3, 0.2, 0.1)]
+    gains = catalog._gain(spark.createDataFrame(rows, "seg long, x double, gt int").coalesce(1))
+    assert gains.select("gain").distinct().count() == 1
