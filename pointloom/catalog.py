@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pointloom import oracles
 from pointloom.functions import colour, curves, vectors
-from pointloom.operators import attention, classify, geometry, graph, merge, metrics, projection, segment, shape, supervoxel
+from pointloom.operators import attention, classify, geometry, graph, merge, metrics, nearest, projection, segment, shape, supervoxel
 from pointloom.plans import evaluate
 from pointloom.plans.storage import stored
 from pointloom.sources import export, scenes, text
@@ -213,13 +213,13 @@ def knn_normals(spark, sf):
 def _with_fpfh(spark, sf) -> DataFrame:
     """The geometry pre-pass, stored: everything after reads it several times."""
     points = vec_points(spark, sf)
-    return stored(points.join(geometry.fpfh(graph.grid_knn(points, 30, 0.3), points), ["scene", "pid"]))
+    return stored(points.join(geometry.fpfh(nearest.packed_knn(points, 30, 0.3), points), ["scene", "pid"]))
 
 
 @query
 def fpfh(spark, sf):
     points = vec_points(spark, sf)
-    found = geometry.fpfh(graph.grid_knn(points, 30, 0.3), points)
+    found = geometry.fpfh(nearest.packed_knn(points, 30, 0.3), points)
     return found.select("scene", "pid", F.posexplode("fpfh").alias("bin", "v")).withColumn("v", F.round("v", 6))
 
 
@@ -448,7 +448,7 @@ def fps_seeds(spark, sf):
 @query
 def refined_shapes(spark, sf):
     points = _as_shapes(spark, sf)
-    points = points.join(geometry.fpfh(graph.grid_knn(points, 30, 0.3, ("shape_id",)), points, ("shape_id",)), ["shape_id", "pid"])
+    points = points.join(geometry.fpfh(nearest.packed_knn(points, 30, 0.3, ("shape_id",)), points, ("shape_id",)), ["shape_id", "pid"])
     return shape.refine_shapes(points, DIM, 16, 12)
 
 

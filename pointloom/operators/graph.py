@@ -11,7 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.functions.curves import ORDERS, cell, coded, with_cells, with_code
+from pointloom.functions.curves import ORDERS, coded, with_cells, with_code
+from pointloom.operators.nearest import packed_knn
 from pointloom.plans.storage import stored
 
 
@@ -150,16 +151,9 @@ def curve_knn(points: DataFrame, voxel: float, k: int = 8, window: int = 8, min_
 
 
 def grid_knn(points: DataFrame, k: int, radius: float, keys: Sequence[str] = ("scene",), asked: DataFrame | None = None) -> DataFrame:
-    """Up to k nearest others within a radius: points (or those of `asked`) meet in the 27 cells around their own; (keys, i, j, d2)."""
-    cells = [cell(F.col(c), radius).alias(f"c{c}") for c in "xyz"]
-    home = points.select(*keys, F.col("pid").alias("j"), *[F.col(c).alias(f"{c}2") for c in "xyz"], *cells)
-    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    own = (points if asked is None else asked).select(*keys, F.col("pid").alias("i"), "x", "y", "z", *cells)
-    for c in "xyz":
-        own = own.withColumn("__s", F.explode(step)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("__s")).drop("__s")
-    d2 = (F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2 + (F.col("z") - F.col("z2")) ** 2
-    met = own.join(home, [*keys, "cx", "cy", "cz"]).where("i <> j").withColumn("d2", d2).where(F.col("d2") <= radius**2)
-    return top_k(met.select(*keys, "i", "j", "d2"), k, ["d2", "j"], keys)
+    """Up to k nearest others within a radius of points (or those of `asked`): (keys, i, j, d2)."""
+    found = packed_knn(points, k, radius, keys, asked).select(*keys, "i", F.explode(F.arrays_zip("js", "d2s")).alias("__e"))
+    return found.select(*keys, "i", F.col("__e.js").alias("j"), F.col("__e.d2s").alias("d2"))
 
 
 def exact_knn(points: DataFrame, k: int, radius: float, keys: Sequence[str] = ("scene",), rounds: int = 64) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from pointloom import catalog
 from pointloom.functions import curves
-from pointloom.operators import attention, graph, merge, metrics, segment, shape, supervoxel
+from pointloom.operators import attention, geometry, graph, merge, metrics, nearest, segment, shape, supervoxel
 from pointloom.sources import export, scenes
 from pointloom.sources.fixtures import DIM, classes, vec_points
 from pointloom.streaming import running
@@ -233,3 +233,24 @@ def test_equal_regions_tie_in_gain_however_their_rows_are_dealt(spark):
     rows = [(0, x, 1) for x in (0.1, 0.2, 0.3)] + [(1, x, 1) for x in (0.3, 0.2, 0.1)]
     gains = catalog._gain(spark.createDataFrame(rows, "seg long, x double, gt int").coalesce(1))
     assert gains.select("gain").distinct().count() == 1
+
+
+def test_nearest_points_are_exact_across_slabs_and_write_k_a_point(spark):
+    points = vec_points(spark, "/root/testdata/sf0.1").where("scene = 0").select("scene", "pid", "x", "y", "z")
+    points = points.unionByName(points.limit(40).withColumn("pid", F.col("pid") + 10_000))  # copies, so distances tie
+    rows = points.toPandas().sort_values("pid")
+    pid, at = rows["pid"].to_numpy(), rows[["x", "y", "z"]].to_numpy()
+    d2 = ((at[:, None] - at[None]) ** 2).sum(2)
+    np.fill_diagonal(d2, np.inf)
+    for k, radius in ((5, 0.1), (30, 9.0)):
+        want = {int(p): [int(pid[j]) for j in np.lexsort((pid, d))[:k] if d[j] <= radius**2] for p, d in zip(pid, np.round(d2, 15), strict=True)}
+        for slab_rows in (60, 10_000):
+            got = nearest.packed_knn(points, k, radius, slab_rows=slab_rows).collect()
+            assert {r["i"]: r["js"] for r in got} == want
+
+
+def test_histograms_of_packed_neighbours_equal_those_of_pairs(spark):
+    points = vec_points(spark, SF)
+    packed = geometry.fpfh(nearest.packed_knn(points, 30, 0.3, slab_rows=100), points)
+    both = packed.join(geometry.fpfh(graph.grid_knn(points, 30, 0.3), points).withColumnRenamed("fpfh", "other"), ["scene", "pid"]).collect()
+    assert len(both) == 500 and all(np.allclose(r["fpfh"], r["other"]) for r in both)
