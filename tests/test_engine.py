@@ -254,3 +254,11 @@ def test_histograms_of_packed_neighbours_equal_those_of_pairs(spark):
     packed = geometry.fpfh(nearest.packed_knn(points, 30, 0.3, slab_rows=100), points)
     both = packed.join(geometry.fpfh(graph.grid_knn(points, 30, 0.3), points).withColumnRenamed("fpfh", "other"), ["scene", "pid"]).collect()
     assert len(both) == 500 and all(np.allclose(r["fpfh"], r["other"]) for r in both)
+
+
+def test_payload_in_chunks_packs_a_scene_where_its_rows_lie(spark):
+    points = spark.createDataFrame([(i % 2, i, float(i % 7), 1.0 * i, 0.0, i % 5, i % 300) for i in range(500)], "scene long, pid long, x double, y double, z double, gt int, region long")
+    whole, parts = (sorted(map(tuple, export.payload(points, chunk_rows=n).collect())) for n in (1000, 60))
+    assert whole == parts and [r[1] for r in whole] == [250, 250]
+    plan = export.payload(points)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
