@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.curves import ORDERS, coded, with_cells, with_code
 from pointloom.operators.nearest import packed_knn
+from pointloom.operators.voting import voted
 from pointloom.plans.storage import stored
 
 
@@ -140,14 +141,12 @@ def curve_pairs(points: DataFrame, voxel: float, window: int, keys: Sequence[str
 
 def curve_votes(points: DataFrame, voxel: float, window: int, min_votes: int, max_dist: float, keys: Sequence[str] = ("scene",)) -> DataFrame:
     """Pairs with enough votes that lie close: (keys, i, j, votes, d2)."""
-    near = curve_pairs(points, voxel, window, keys, max_dist=max_dist)
-    return near.groupBy(*keys, "i", "j").agg(F.count("*").alias("votes"), F.min("d2").alias("d2")).where(F.col("votes") >= min_votes)
+    return voted(points, voxel, 0, window, min_votes, max_dist, keys).where("i < j")
 
 
 def curve_knn(points: DataFrame, voxel: float, k: int = 8, window: int = 8, min_votes: int = 4, max_dist: float = 0.3, keys: Sequence[str] = ("scene",)) -> DataFrame:
     """Directed neighbour graph: of each point the k partners with most votes, nearer ones and lower ids first."""
-    both = mirrored(curve_votes(points, voxel, window, min_votes, max_dist, keys))
-    return top_k(both, k, [F.desc("votes"), "d2", "j"], keys) if k > 0 else both
+    return voted(points, voxel, k, window, min_votes, max_dist, keys)
 
 
 def grid_knn(points: DataFrame, k: int, radius: float, keys: Sequence[str] = ("scene",), asked: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from pointloom import catalog
 from pointloom.functions import curves
-from pointloom.operators import attention, geometry, graph, merge, metrics, nearest, segment, shape, supervoxel
+from pointloom.operators import attention, geometry, graph, merge, metrics, nearest, segment, shape, supervoxel, voting
 from pointloom.sources import export, scenes
 from pointloom.sources.fixtures import DIM, classes, vec_points
 from pointloom.streaming import running
@@ -108,6 +108,37 @@ def test_slabs_give_the_same_pairs(spark):
     assert whole == parts
 
 
+@pytest.mark.parametrize(("leaf_rows", "window"), [(10**6, 8), (60, 8), (5, 3)])
+def test_votes_are_counted_where_points_lie(spark, leaf_rows, window):
+    """Votes of cubes equal those of all pairs: sparse and crowded cells, cells of many copies, coordinates without number, two keys."""
+    rng = np.random.default_rng(3)
+    at = np.concatenate([rng.random((500, 3)), rng.integers(0, 6, (500, 3)) / 50, np.full((300, 3), 0.5), rng.random((20, 3)) * 400])
+    at[7, 1], at[8] = np.nan, np.inf
+    rows = [(str(i % 3), int(i % 2), int(pid), *map(float, v)) for i, (pid, v) in enumerate(zip(rng.permutation(len(at)) * 10**12 - 10**14, at, strict=True))]
+    points = spark.createDataFrame([*rows, ("alone", 0, 1, 0.0, 0.0, 0.0)], "scene string, part int, pid long, x double, y double, z double").repartition(3)
+    keys = ["scene", "part"]
+    finite = points.where("not isnan(y)")
+    pairs = graph.curve_pairs(finite, 0.02, window, keys, max_dist=0.3)
+    votes = pairs.groupBy(*keys, "i", "j").agg(F.count("*").alias("votes"), F.min("d2").alias("d2")).where("votes >= 3")
+    both = graph.mirrored(votes)
+    for k in (0, 4):
+        want = both if k == 0 else graph.top_k(both, k, [F.desc("votes"), "d2", "j"], keys)
+        got = voting.voted(finite, 0.02, k, window, 3, 0.3, keys, leaf_rows=leaf_rows)
+        want = want.select(*keys, "i", "j", "votes", "d2")
+        assert sorted(got.collect()) == sorted(want.collect()) and got.schema.simpleString() == want.schema.simpleString()
+    assert got.count() > 1000
+    assert voting.voted(points, 0.02, 4, window, 3, 0.3, keys, leaf_rows=leaf_rows).where("isnan(d2)").isEmpty()
+
+
+def test_few_pairs_of_votes_are_written(spark):
+    """Of 20,000 points in 400 cells, fewer bytes are shuffled than a tenth of the rows of all pairs on eight curves would take."""
+    points = spark.range(20_000).selectExpr("0L scene", "id pid", "id % 20 / 50D x", "cast(id / 20 as long) % 20 / 50D y", "0D z").repartition(2)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    assert graph.curve_knn(points, 0.02, 8, 8, 4, 0.3).count() == 160_000
+    assert written() - before < 20_000 * 64 * 24 / 10
+
+
 def test_metrics_ignore_absent_and_unlabelled(spark):
     rows = [(0, 0)] * 3 + [(0, 1)] + [(1, 1)] * 2 + [(255, 2)] * 9
     got = metrics.scores(metrics.confusion(spark.createDataFrame(rows, "gt int, pred int"), 4)).first()
